@@ -21,6 +21,12 @@ def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, files)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lengths import length_histogram
 
@@ -57,6 +63,22 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT b, root FROM reach JOIN two ON a = node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id, r.root = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_no, doc_id,
@@ -87,8 +109,9 @@ FROM d LEFT JOIN words USING (row_no) LEFT JOIN items USING (row_no)
 
 QUERIES = {
     "op2_rans_tokens": op2_rans_tokens,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op7_decontaminate": op7_decontaminate,
     "op9_shards": op9_shards,
 }
-SQL = {"op7_decontaminate": OP7_SQL}
+SQL = {"op3_near_duplicates": OP3_SQL, "op7_decontaminate": OP7_SQL}
