@@ -33,6 +33,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = fit(docs.where(~held_out).select("text", "lang"))
+    return predict(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminate
 
@@ -63,6 +72,12 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wfst import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("piece_bpe_32k.model")).drop("text")
+
+
 OP3_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -111,7 +126,9 @@ QUERIES = {
     "op2_rans_tokens": op2_rans_tokens,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_token_counts": op5_token_counts,
+    "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op9_shards": op9_shards,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {"op3_near_duplicates": OP3_SQL, "op7_decontaminate": OP7_SQL}
