@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
+from .sql import licence_sql, quality_sql
 
 
 def _tokenizer(name: str) -> str:
@@ -14,6 +15,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*names, F.round("posterior", 6).alias("posterior"))
+
+
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import read_tokens, write_tokens
 
@@ -57,6 +66,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -123,12 +138,14 @@ FROM d LEFT JOIN words USING (row_no) LEFT JOIN items USING (row_no)
 """
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_rans_tokens": op2_rans_tokens,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_licences": op8_licences,
     "op9_shards": op9_shards,
     "op10_sentencepiece": op10_sentencepiece,
 }
-SQL = {"op3_near_duplicates": OP3_SQL, "op7_decontaminate": OP7_SQL}
+SQL = {"op1_quality_rules": quality_sql(), "op8_licences": licence_sql(), "op3_near_duplicates": OP3_SQL, "op7_decontaminate": OP7_SQL}
