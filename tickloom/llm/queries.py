@@ -36,6 +36,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lengths import length_histogram
 
@@ -141,6 +147,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_rans_tokens": op2_rans_tokens,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
