@@ -1,9 +1,66 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, encoding.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
+that its predecessor kept, and all but the last return the columns of documents.
+Between stages the rows are written as Parquet and read again.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontam, forest, langid, lines, shared, wfst
+from tickloom.llm.queries import _tokenizer
+
+ORACLE_SQL = None  # language ID, fuzzy links and encoding aren't SQL; tests hold them against brute force
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are rejected go: no text, no letter, or far from every language's centroids."""
+    model = langid.fit(docs.select("text", "lang"))
+    return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; so do documents of which no line stays. n_chars follows the text."""
+    out = lines.deduplicate(docs, similarity=0.8).where("n_removed = 0 OR n_removed < n_lines")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the one with the least doc_id."""
+    lost = forest.near_duplicates(docs, shingle=5, num=80, den=100).where(~F.col("kept")).select("doc_id").distinct()
+    lost, _ = shared.written(lost, "lost")
+    n, ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if n != ids:  # repeated rows
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    small = lost.count() <= lines.BROADCAST
+    return docs.join(F.broadcast(lost) if small else lost, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontam.contaminate(docs, shared.table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hits") == 0).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The encoded corpus."""
+    return wfst.encode_documents(docs, _tokenizer("piece_bpe_32k.model")).drop("text")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("sentencepiece", sentencepiece),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = shared.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
