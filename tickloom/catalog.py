@@ -1,13 +1,19 @@
 """The engine's registered queries and their SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+from pyspark.sql import DataFrame, SparkSession
 
+from . import features
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.query("s2_dynamics")(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return {name: features.query(name) for name in features.SETS}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: features.sql(name) for name in features.SETS}
