@@ -174,16 +174,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> dict:
             )
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                got = enc.ids(text)
-                names.append(name)
-                lengths.append(len(got) // enc.width + 1)
-                ids += (got, end)
-                held += lengths[-1]
-                if held >= BLOCK_IDS:
-                    yield block()
-                    at += held
-                    names, lengths, ids, held = [], [], [], 0
+            doc_ids = iter(batch["doc_id"].to_pylist())
+            for got, sizes in enc.encode(batch["text"]):
+                begin = 0
+                for n in sizes.tolist():
+                    names.append(next(doc_ids))
+                    lengths.append(n + 1)
+                    ids += (got[begin : begin + n].tobytes(), end)
+                    begin += n
+                    held += n + 1
+                    if held >= BLOCK_IDS:
+                        yield block()
+                        at += held
+                        names, lengths, ids, held = [], [], [], 0
         if names:
             yield block()
 
