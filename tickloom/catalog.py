@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features
+from . import features, market
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +12,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: features.query(name) for name in features.SETS}
+    found = {name: features.query(name) for name in features.SETS}
+    return found | {name: run for name, (run, _) in market.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: features.sql(name) for name in features.SETS}
+    found = {name: features.sql(name) for name in features.SETS}
+    return found | {name: sql for name, (_, sql) in market.QUERIES.items() if sql}

@@ -90,7 +90,7 @@ def book_features(fixed: tuple[float, ...], alphas: tuple[float, ...]) -> dict[s
     out["bps_sym"] = sym
     for s, (px, _, is_bid) in sides.items():
         out[f"max_bps_{s}"] = max_bps_side(px, m, is_bid)
-    windows = [(f"{b:g}bps", F.lit(float(b))) for b in fixed] + [(f"alpha{a:g}", sym * a) for a in alphas]
+    windows = [(f"{b:g}bps", F.lit(float(b))) for b in fixed] + [(f"alpha{a:g}".replace(".", "_"), sym * a) for a in alphas]
     for tag, hi in windows:
         raw = {}
         for s, (px, qty, is_bid) in sides.items():
