@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import features, market, studies
+from .streaming import live
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,9 +14,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = {name: features.query(name) for name in features.SETS}
-    return found | {name: run for name, (run, _) in {**market.QUERIES, **studies.QUERIES}.items()}
+    return found | {name: run for name, (run, _) in {**market.QUERIES, **studies.QUERIES, **live.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: features.sql(name) for name in features.SETS}
-    return found | {name: sql for name, (_, sql) in {**market.QUERIES, **studies.QUERIES}.items() if sql}
+    return found | {name: sql for name, (_, sql) in {**market.QUERIES, **studies.QUERIES, **live.QUERIES}.items() if sql}
