@@ -57,8 +57,7 @@ def book_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("a", lambda v: v["k"]).alias("asks_px"),
         F.transform("a", lambda v: v["q"]).alias("asks_qty"),
     )
-    made = book.book_features(FIXED, ALPHAS)
-    return _rounded(b.select("asset", "bucket", *(c.alias(n) for n, c in made.items())), ["asset", "bucket"])
+    return _rounded(book.with_book_features(b, FIXED, ALPHAS).drop("bids_px", "bids_qty", "asks_px", "asks_qty"), ["asset", "bucket"])
 
 
 def _book_sql() -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import EPS
@@ -49,9 +49,23 @@ def _total(levels: Column, value) -> Column:
     return F.aggregate(levels, F.lit(0.0), lambda a, v: a + value(v))
 
 
+def _notional(inside: Column) -> Column:
+    return _total(inside, lambda v: v["p"] * v["q"])
+
+
+def _weighted_price(inside: Column) -> Column:
+    q = _total(inside, lambda v: v["q"])
+    return F.when(q > 0, _notional(inside) / q)
+
+
+def _largest(inside: Column) -> Column:
+    ranked = F.transform(inside, lambda v: F.struct((v["p"] * v["q"]).alias("n"), (-v["i"]).alias("i"), v["d"].alias("d")))
+    return F.array_max(ranked)["d"]
+
+
 def notional_within(px: Column, qty: Column, m: Column, bid: bool, lo, hi) -> Column:
     """Sum of price * quantity of levels lo <= distance <= hi; an empty window is 0."""
-    return _total(_within(px, qty, m, bid, lo, hi), lambda v: v["p"] * v["q"])
+    return _notional(_within(px, qty, m, bid, lo, hi))
 
 
 def notional_filled(*args) -> Column:
@@ -65,9 +79,7 @@ def imbalance(b: Column, a: Column) -> Column:
 
 def lwp(px: Column, qty: Column, m: Column, bid: bool, lo, hi) -> Column:
     """Quantity-weighted price of the window, NULL without quantity."""
-    inside = _within(px, qty, m, bid, lo, hi)
-    q = _total(inside, lambda v: v["q"])
-    return F.when(q > 0, _total(inside, lambda v: v["p"] * v["q"]) / q)
+    return _weighted_price(_within(px, qty, m, bid, lo, hi))
 
 
 def lwp_mid(b: Column, a: Column) -> Column:
@@ -76,28 +88,38 @@ def lwp_mid(b: Column, a: Column) -> Column:
 
 def max_liq_distance(px: Column, qty: Column, m: Column, bid: bool, lo, hi) -> Column:
     """Distance of the level with the largest notional; the first of equals."""
-    ranked = F.transform(_within(px, qty, m, bid, lo, hi), lambda v: F.struct((v["p"] * v["q"]).alias("n"), (-v["i"]).alias("i"), v["d"].alias("d")))
-    return F.array_max(ranked)["d"]
+    return _largest(_within(px, qty, m, bid, lo, hi))
+
+
+def _up_to(hi: Column):
+    return lambda v: (v["d"] >= 0) & (v["d"] <= hi)
+
 
+def with_book_features(df: DataFrame, fixed: tuple[float, ...], alphas: tuple[float, ...]) -> DataFrame:
+    """``df`` (bids_px, bids_qty, asks_px, asks_qty) with every book operator.
 
-def book_features(fixed: tuple[float, ...], alphas: tuple[float, ...]) -> dict[str, Column]:
-    """Every book operator over columns bids_px, bids_qty, asks_px and asks_qty, by feature name."""
+    Levels and the levels of each window are columns of their own until the end:
+    each is worked out once a row, whatever is taken from it.
+    """
     sides = {"bid": (F.col("bids_px"), F.col("bids_qty"), True), "ask": (F.col("asks_px"), F.col("asks_qty"), False)}
-    best = {s: F.try_element_at(px, F.lit(1)) for s, (px, _, _) in sides.items()}
-    m = mid(best["bid"], best["ask"])
-    out = {"best_bid": best["bid"], "best_ask": best["ask"], "mid": m, "spread": spread(best["bid"], best["ask"])}
-    sym = bps_sym(F.col("bids_px"), F.col("asks_px"), m)
-    out["bps_sym"] = sym
-    for s, (px, _, is_bid) in sides.items():
-        out[f"max_bps_{s}"] = max_bps_side(px, m, is_bid)
-    windows = [(f"{b:g}bps", F.lit(float(b))) for b in fixed] + [(f"alpha{a:g}".replace(".", "_"), sym * a) for a in alphas]
+    df = df.withColumns({f"best_{s}": F.try_element_at(px, F.lit(1)) for s, (px, _, _) in sides.items()})
+    df = df.withColumns({"mid": mid(F.col("best_bid"), F.col("best_ask")), "spread": spread(F.col("best_bid"), F.col("best_ask"))})
+    m = F.col("mid")
+    df = df.withColumns({f"max_bps_{s}": max_bps_side(px, m, is_bid) for s, (px, _, is_bid) in sides.items()})
+    b, a = F.col("max_bps_bid"), F.col("max_bps_ask")
+    df = df.withColumns({"bps_sym": F.when(b.isNotNull() & a.isNotNull(), F.least(b, a)), **{f"_all_{s}": _levels(px, qty, m, is_bid) for s, (px, qty, is_bid) in sides.items()}})
+    windows = [(f"{x:g}bps", F.lit(float(x))) for x in fixed] + [(f"alpha{x:g}".replace(".", "_"), F.col("bps_sym") * x) for x in alphas]
+    cut, made, held = {}, {}, ["_all_bid", "_all_ask"]
     for tag, hi in windows:
-        raw = {}
-        for s, (px, qty, is_bid) in sides.items():
-            raw[s] = notional_within(px, qty, m, is_bid, 0.0, hi)
-            out[f"notional_{s}_{tag}"] = F.coalesce(raw[s], F.lit(0.0))
-            out[f"lwp_{s}_{tag}"] = lwp(px, qty, m, is_bid, 0.0, hi)
-            out[f"max_liq_{s}_{tag}"] = max_liq_distance(px, qty, m, is_bid, 0.0, hi)
-        out[f"imbalance_{tag}"] = imbalance(raw["bid"], raw["ask"])
-        out[f"lwp_mid_{tag}"] = lwp_mid(out[f"lwp_bid_{tag}"], out[f"lwp_ask_{tag}"])
-    return out
+        for s in sides:
+            cut[f"_in_{s}_{tag}"] = F.filter(F.col(f"_all_{s}"), _up_to(hi))
+            inside = F.col(f"_in_{s}_{tag}")
+            made |= {f"_n_{s}_{tag}": _notional(inside), f"lwp_{s}_{tag}": _weighted_price(inside), f"max_liq_{s}_{tag}": _largest(inside)}
+    df = df.withColumns(cut).withColumns(made)
+    last = {}
+    for tag, _ in windows:
+        n = {s: F.col(f"_n_{s}_{tag}") for s in sides}
+        last |= {f"notional_{s}_{tag}": F.coalesce(x, F.lit(0.0)) for s, x in n.items()}
+        last |= {f"imbalance_{tag}": imbalance(n["bid"], n["ask"]), f"lwp_mid_{tag}": lwp_mid(F.col(f"lwp_bid_{tag}"), F.col(f"lwp_ask_{tag}"))}
+        held += [f"_n_{s}_{tag}" for s in sides]
+    return df.withColumns(last).drop(*held, *cut)
