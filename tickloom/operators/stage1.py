@@ -48,6 +48,8 @@ def _rv_fwd(t, x, p):
 def ema(t: Tape, x: Column, span: float) -> Column:
     """alpha = 2/(span+1), seeded by the first value; a NULL carries the last value on."""
     a = 2.0 / (span + 1.0)
+    if a >= 1:
+        return F.last(x, ignorenulls=True).over(t.so_far())
     n = t.hold(F.count(x).over(t.so_far()) - 1, 0)
     weighed = F.when(n == 0, x).otherwise(a * x)
     got = t.hold(t.decayed(weighed, 1 - a, n, 1), 5)
