@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
-import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,16 +45,23 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package: they may not see the driver's folders."""
+    """Give executors this package through the shared folder: they may not see the driver's."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    tmp = tempfile.mkdtemp()
-    tree = os.path.join(tmp, "tree")
-    shutil.copytree(top, os.path.join(tree, "tickloom"), ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(os.path.join(tmp, "tickloom_pkg"), "zip", tree))
-    shutil.rmtree(tree)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tickloom", os.path.relpath(full, top)))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tickloom_pkg.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(held.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())
     _SHIPPED.add(sc.applicationId)
 
 
