@@ -194,3 +194,49 @@ def test_empty_frames(spark):
     df = spark.createDataFrame([], "k int, t int, x double")
     f = [Feature("z", "S2", "derived.robust_zscore", ("x",), {"window_s": 3}), Feature("e", "S1", "derived.ema", ("x",), {"span_s": 3})]
     assert compute(df, f, ["k"], ["t"]).count() == 0
+
+
+def test_feed_links(spark):
+    from tickloom.sources import feeds
+
+    rows = [(5, 8, None, 6), (7, 9, None, 6), (8, 9, None, 6), (7, 9, 5, 6), (9, 9, 6, 6)]
+    df = spark.createDataFrame(rows, "a int, b int, p int, s int")
+    cols = [F.col(c) for c in "abps"]
+    got = df.select(feeds.links(*cols, False), feeds.links(*cols, True), feeds.follows(*cols, False), feeds.follows(*cols, True)).collect()
+    assert [tuple(r) for r in got] == [(True, True, False, True), (True, False, True, True), (False, False, False, False), (False, False, True, True), (False, True, True, True)]
+
+
+def test_scan_stands_schema_drift(spark, tmp_path):
+    from tickloom.sources import feeds
+
+    spark.range(2).selectExpr("id AS t", "1.5D AS px").write.parquet(str(tmp_path / "a"))
+    spark.range(1).selectExpr("id AS t", "2 AS price", "'x' AS other").write.parquet(str(tmp_path / "b"))
+    df = feeds.scan(spark, [str(tmp_path / "a"), str(tmp_path / "b")], {"t": "bigint", "price": "double", "qty": "double"}, {"px": "price"})
+    assert sorted((r["t"], r["price"], r["qty"]) for r in df.collect()) == [(0, 1.5, None), (0, 2.0, None), (1, 1.5, None)]
+
+
+def test_hour_range_and_sink(spark, tmp_path):
+    from tickloom.sources import feeds
+
+    rows = [("x", f"2024-01-01 {h:02d}:10:00") for h in (0, 1, 2)] + [("y", "2024-01-01 01:00:00")]
+    df = spark.createDataFrame(rows, "k string, s string").select("k", F.to_timestamp("s").alias("ts"))
+    full = feeds.hour_range(df, "ts", "2024-01-01 00:00:00", "2024-01-01 02:00:00", ["k"], True)
+    assert [(r["k"], r["ts"].hour) for r in full.orderBy("ts").collect()] == [("x", 0), ("x", 1)]
+    feeds.routed(df, str(tmp_path / "out"), "ts", ["k"])
+    assert spark.read.parquet(str(tmp_path / "out")).where("k = 'x' AND hour = 2").count() == 1
+
+
+def test_families(spark):
+    from tickloom.operators import exits
+
+    names = spark.createDataFrame([("queue_pressure_5bps",), ("queue_x",), ("other",)], "feature string")
+    known = spark.createDataFrame([("queue", "A"), ("queue_pressure", "B")], "concept string, family string")
+    assert {r["feature"]: r["family"] for r in exits.family(names, known).collect()} == {"queue_pressure_5bps": "B", "queue_x": "A", "other": None}
+
+
+def test_as_of(spark):
+    from tickloom.operators import joins
+
+    df = spark.createDataFrame([(0, 1, 100.0), (0, 4, 110.0), (0, 6, 121.0), (0, 30, 1.0)], "k int, t long, p double")
+    got = joins.backward_return_bps(df, ["k"], "t", "p", 2, 1).orderBy("t").collect()
+    assert [r["back_bps"] for r in got] == pytest.approx([None, 1000.0, 1000.0, None])

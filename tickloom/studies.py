@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .features import BARS_SQL, bars
-from .operators import evaluate, selection
-from .sources import tables
+from .operators import evaluate, exits, selection
+from .sources import feeds, tables
 
 COLUMNS = ["trade_count", "volume", "px", "gap", "b1", "b5"]
 L, TP, SL, OFFSET = 10, 600.0, 500.0, 400.0
@@ -159,6 +159,89 @@ SELECT count(*) AS n, round(avg(coalesce(hit, false)::INT), 6) AS fill_rate, rou
 """
 
 
+SHARES = [0.1, 0.5, 0.9]
+
+
+def path_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    made = evaluate.excursion(F.col("path"))
+    d = e.select("asset", *(made[c].alias(c) for c in ("mfe", "mae", "terminal")))
+    return _r(exits.quantile_table(d, ["mfe", "mae", "terminal"], SHARES, ["asset"]), "asset", "measure", "share")
+
+
+PATH_QUANTILES_SQL = f"WITH {_EVENTS_SQL}, g AS (SELECT asset, bucket, max(v) AS mfe, min(v) AS mae, arg_max(v, k) AS terminal FROM st GROUP BY asset, bucket) " + " UNION ALL ".join(
+    f"SELECT asset, '{c}' AS measure, CAST({s} AS DOUBLE) AS share, round(quantile_cont({c}, {s}), 6) AS value FROM g GROUP BY asset" for c in ("mfe", "mae", "terminal") for s in SHARES
+)
+
+
+def average_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(exits.average_path(_events(spark, sf_dir), "path", ["asset"]), "asset", "step", "n")
+
+
+AVERAGE_PATHS_SQL = f"WITH {_EVENTS_SQL} SELECT asset, CAST(k - 1 AS INT) AS step, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM st WHERE k IS NOT NULL GROUP BY asset, k"
+LEVELS = [100.0, 400.0]
+
+
+def level_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(exits.level_times(_events(spark, sf_dir), "path", LEVELS, ["asset"]), "asset", "level")
+
+
+LEVEL_TIMES_SQL = f"""
+WITH {_EVENTS_SQL}, h AS (SELECT asset, bucket, level, min(k) FILTER (v >= level) AS t FROM st, (SELECT unnest({LEVELS}::DOUBLE[]) AS level) GROUP BY ALL)
+SELECT asset, level, round(avg((t IS NOT NULL)::INT), 6) AS hit_rate, round(avg(t), 6) AS mean_t, round(quantile_cont(t, 0.25), 6) AS p25_t, round(quantile_cont(t, 0.5), 6) AS p50_t, round(quantile_cont(t, 0.75), 6) AS p75_t FROM h GROUP BY ALL
+"""
+GRID = [(200.0, 200.0, 5), (400.0, 200.0, 10), (200.0, 400.0, 10), (600.0, 600.0, 10)]
+
+
+def exit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds by the day's place in its asset's series."""
+    e = _events(spark, sf_dir).withColumn("block", F.floor(F.col("i") / 500))
+    return _r(exits.grid_cv(e, "path", "block", GRID, 2.0, 4), "block", "g", "n")
+
+
+_GRID_SQL = ", ".join(f"({i}, {tp}, {sl}, {t})" for i, (tp, sl, t) in enumerate(GRID))
+EXIT_GRID_SQL = f"""
+WITH {_EVENTS_SQL}, gr(g, tp, sl, lim) AS (VALUES {_GRID_SQL}),
+x AS (SELECT asset, bucket, g, tp, sl, min(k) FILTER (v >= tp AND k <= lim) AS u, min(k) FILTER (v <= -sl AND k <= lim) AS d, arg_max(v, k) FILTER (k <= lim) AS e FROM st, gr GROUP BY ALL),
+y AS (SELECT CAST(ev.i // 500 AS BIGINT) AS block, g, CASE WHEN u IS NOT NULL AND u <= coalesce(d, 9999) THEN tp WHEN d IS NOT NULL THEN -sl ELSE e END - 2.0 AS pnl FROM x JOIN ev USING (asset, bucket)),
+m AS (SELECT block, g, count(pnl) AS n, sum(pnl) AS s, sum(pnl * pnl) AS ss, avg((pnl > 0)::INT) AS win_rate FROM y GROUP BY ALL),
+p AS (SELECT *, sum(n) OVER w AS n0, sum(s) OVER w AS s0, sum(ss) OVER w AS ss0 FROM m WINDOW w AS (PARTITION BY g ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tr AS (SELECT *, CASE WHEN n0 >= 30 AND ss0 / n0 - (s0 / n0) ** 2 > 1e-12 THEN s0 / n0 / sqrt(ss0 / n0 - (s0 / n0) ** 2) * sqrt(n0) END AS train FROM p WHERE block BETWEEN 1 AND 4)
+SELECT block, g, n, round(s / n, 6) AS mean_pnl, round(win_rate, 6) AS win_rate, round(train, 6) AS train_sharpe FROM tr WHERE train IS NOT NULL QUALIFY row_number() OVER (PARTITION BY block ORDER BY train DESC, g) = 1
+"""
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(exits.signature(bars(spark, sf_dir), "asset", COLUMNS, 3), "asset", "feature", "place")
+
+
+SIGNATURES_SQL = f"WITH {BARS_SQL}, z AS (" + " UNION ALL ".join(f"SELECT asset, '{c}' AS feature, (avg({c}) - (SELECT avg({c}) FROM bars)) / (SELECT stddev_pop({c}) FROM bars) AS z FROM bars GROUP BY asset" for c in COLUMNS) + ") SELECT asset, feature, round(z, 6) AS z, CAST(row_number() OVER (PARTITION BY asset ORDER BY abs(z) DESC, feature) AS INT) AS place FROM z QUALIFY place <= 3"
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(exits.tick_size(tables.read(spark, sf_dir, "part"), "p_retailprice", ["p_size"]), "p_size")
+
+
+TICKS_SQL = """
+WITH p AS (SELECT DISTINCT p_size, round(p_retailprice, 8) AS p FROM part), d AS (SELECT p_size, p - lag(p) OVER (PARTITION BY p_size ORDER BY p) AS d FROM p),
+q AS (SELECT p_size, quantile_cont(d, 0.05) AS q FROM d WHERE d > 1e-12 GROUP BY p_size)
+SELECT p_size, round(median(d), 6) AS tick FROM d JOIN q USING (p_size) WHERE d > 1e-12 AND d <= q GROUP BY p_size
+"""
+
+
+def feeds_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_seq", F.col("event_id") + 10_000_000 * (F.col("event_id") % 7))
+    return _r(feeds.feed_report(e, ["event_type"], "ts", "value", 3600), "event_type", "n_rows", "first", "last", "n_gaps", "n_late")
+
+
+FEEDS_SQL = """
+WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id + 10000000 * (event_id % 7) AS s FROM events),
+d AS (SELECT *, t - lag(t) OVER (PARTITION BY event_type ORDER BY s) AS step FROM e)
+SELECT event_type, count(*) AS n_rows, min(t) AS first, max(t) AS last, count(*) FILTER (step > 3600) AS n_gaps, count(*) FILTER (step < 0) AS n_late, round(avg(value), 6) AS mean,
+  round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, round(count(*) / (max(t) - min(t))::DOUBLE, 6) AS per_second FROM d GROUP BY event_type
+"""
+
+
 def false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
     p = F.when(F.col("n") % 11 != 0, F.pmod(F.col("n") * 7919 + F.col("user_id") * 31, F.lit(997)) / 997.0)
@@ -262,6 +345,13 @@ QUERIES = {
     "eval_breakouts": (breakouts, BREAKOUTS_SQL),
     "eval_excursions": (excursions, EXCURSIONS_SQL),
     "eval_spaced": (spaced_events, SPACED_SQL),
+    "eval_path_quantiles": (path_quantiles, PATH_QUANTILES_SQL),
+    "eval_average_path": (average_paths, AVERAGE_PATHS_SQL),
+    "eval_level_times": (level_times, LEVEL_TIMES_SQL),
+    "eval_exit_grid": (exit_grid, EXIT_GRID_SQL),
+    "eval_signatures": (signatures, SIGNATURES_SQL),
+    "audit_ticks": (ticks, TICKS_SQL),
+    "source_feeds": (feeds_report, FEEDS_SQL),
     "eval_maker": (maker, MAKER_SQL),
     "eval_fdr": (false_discovery, FALSE_DISCOVERY_SQL),
     "eval_ari": (rand_index, RAND_SQL),
