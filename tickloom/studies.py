@@ -12,7 +12,8 @@ from .operators import evaluate, exits, selection
 from .sources import feeds, tables
 
 COLUMNS = ["trade_count", "volume", "px", "gap", "b1", "b5"]
-L, TP, SL, OFFSET = 10, 600.0, 500.0, 400.0
+#: Path values are multiples of 0.5, so that these lie between them.
+L, TP, SL, OFFSET = 10, 600.25, 500.25, 400.25
 
 
 def _r(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
@@ -117,7 +118,7 @@ def excursions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     p = F.col("path")
     made = evaluate.excursion(p) | {
-        "t_up": evaluate.first_at(p, lambda v: v >= 200.0),
+        "t_up": evaluate.first_at(p, lambda v: v >= 200.25),
         "exit": evaluate.tp_sl(p, TP, SL, L),
         "trail": evaluate.trailing(p, OFFSET, L),
     }
@@ -129,7 +130,7 @@ ev AS (SELECT * FROM n WHERE abs(move) > {MOVE}),
 st AS (SELECT e.asset, e.bucket, n.i - e.i AS k, CASE WHEN n.i IS NOT NULL THEN sign(e.move) * sum(coalesce(n.nxt, 0)) OVER (PARTITION BY e.asset, e.i ORDER BY n.i) END AS v FROM ev e LEFT JOIN n ON n.asset = e.asset AND n.i > e.i AND n.i <= e.i + {L})"""
 EXCURSIONS_SQL = f"""
 WITH {_EVENTS_SQL}, tr AS (SELECT *, max(v) OVER (PARTITION BY asset, bucket ORDER BY k) AS top FROM st),
-g AS (SELECT asset, bucket, max(v) AS mfe, min(v) AS mae, arg_max(v, k) AS terminal, arg_max(k, (v, -k)) AS t_mfe, min(k) FILTER (v >= 200) AS t_up,
+g AS (SELECT asset, bucket, max(v) AS mfe, min(v) AS mae, arg_max(v, k) AS terminal, arg_max(k, (v, -k)) AS t_mfe, min(k) FILTER (v >= 200.25) AS t_up,
   min(k) FILTER (v >= {TP}) AS u, min(k) FILTER (v <= -{SL}) AS d, arg_min(v, k) FILTER (top > {OFFSET} AND v <= top - {OFFSET}) AS tr FROM tr GROUP BY asset, bucket)
 SELECT asset, CAST(bucket AS VARCHAR) AS bucket, round(mfe, 6) AS mfe, round(mae, 6) AS mae, round(terminal, 6) AS terminal, CAST(t_mfe AS DOUBLE) AS t_mfe, CAST(t_up AS DOUBLE) AS t_up,
   round(CASE WHEN u IS NOT NULL AND u <= coalesce(d, 9999) THEN {TP} WHEN d IS NOT NULL THEN -{SL} ELSE terminal END, 6) AS exit, round(coalesce(tr, terminal), 6) AS trail FROM g
@@ -150,12 +151,12 @@ SELECT asset, i, move FROM taken JOIN ev USING (asset, i)
 
 
 def maker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(evaluate.maker_entry(_events(spark, sf_dir), F.col("path"), 150.0, 4), "n")
+    return _r(evaluate.maker_entry(_events(spark, sf_dir), F.col("path"), 150.25, 4), "n")
 
 
 MAKER_SQL = f"""
-WITH {_EVENTS_SQL}, g AS (SELECT asset, bucket, bool_or(k <= 4 AND v <= -150) AS hit, arg_max(v, k) AS last FROM st GROUP BY asset, bucket)
-SELECT count(*) AS n, round(avg(coalesce(hit, false)::INT), 6) AS fill_rate, round(avg(last + 150) FILTER (coalesce(hit, false)), 6) AS filled_mean, round(avg(last) FILTER (NOT coalesce(hit, false)), 6) AS missed_mean FROM g
+WITH {_EVENTS_SQL}, g AS (SELECT asset, bucket, bool_or(k <= 4 AND v <= -150.25) AS hit, arg_max(v, k) AS last FROM st GROUP BY asset, bucket)
+SELECT count(*) AS n, round(avg(coalesce(hit, false)::INT), 6) AS fill_rate, round(avg(last + 150.25) FILTER (coalesce(hit, false)), 6) AS filled_mean, round(avg(last) FILTER (NOT coalesce(hit, false)), 6) AS missed_mean FROM g
 """
 
 
@@ -179,7 +180,7 @@ def average_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AVERAGE_PATHS_SQL = f"WITH {_EVENTS_SQL} SELECT asset, CAST(k - 1 AS INT) AS step, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM st WHERE k IS NOT NULL GROUP BY asset, k"
-LEVELS = [100.0, 400.0]
+LEVELS = [100.25, 400.25]
 
 
 def level_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +191,7 @@ LEVEL_TIMES_SQL = f"""
 WITH {_EVENTS_SQL}, h AS (SELECT asset, bucket, level, min(k) FILTER (v >= level) AS t FROM st, (SELECT unnest({LEVELS}::DOUBLE[]) AS level) GROUP BY ALL)
 SELECT asset, level, round(avg((t IS NOT NULL)::INT), 6) AS hit_rate, round(avg(t), 6) AS mean_t, round(quantile_cont(t, 0.25), 6) AS p25_t, round(quantile_cont(t, 0.5), 6) AS p50_t, round(quantile_cont(t, 0.75), 6) AS p75_t FROM h GROUP BY ALL
 """
-GRID = [(200.0, 200.0, 5), (400.0, 200.0, 10), (200.0, 400.0, 10), (600.0, 600.0, 10)]
+GRID = [(200.25, 200.25, 5), (400.25, 200.25, 10), (200.25, 400.25, 10), (600.25, 600.25, 10)]
 
 
 def exit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
