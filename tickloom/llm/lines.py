@@ -1,12 +1,12 @@
 """Operator 4: fuzzy line deduplication, in DataFrame functions only.
 
 Signatures: the character shingles of ``ANCHOR`` characters that begin at a word
-are hashed once and sorted; the value of a fixed point is the hash that follows
-it on the circle of hashes. Two lines agree in a point's value with the
-probability of their sets' Jaccard similarity, so the values are minhash values
-at the cost of one hash per shingle. Banding: ``BANDS`` bands of ROWS values
-each; lines that agree in one are candidates. Verification: exact Jaccard
-similarity of the sets of all character shingles of ``SHINGLE`` characters.
+are hashed once and sorted. Banding: the circle of hashes is cut into ``BANDS``
+arcs; an arc's band is its first ROWS hashes and those that follow, which are the
+least of a random order as minhash values are, so that two lines agree in a band
+with the power ROWS of their sets' Jaccard similarity. Lines that agree in one
+are candidates. Verification: exact Jaccard similarity of the sets of all
+character shingles of ``SHINGLE`` characters.
 Union-find over the confirmed links (see components) makes classes, of which the
 first line stays. (Shingles at words alone are a sixth of all; with all of them
 the signatures of a corpus would cost more than everything else here. Short
@@ -20,14 +20,14 @@ their salt's leader, salt leaders meet the band's. Equal lines share a key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import drop, free_name, written
 
 ANCHOR, SHINGLE = 8, 5
-ROWS, BANDS = 4, 14
+ROWS, BANDS = 4, 12
 #: Lines of up to SHORT characters are signed by all their shingles, longer ones
 #: by those at words; from SHORT to SHORT / LEAST by both, so that two lines with a
 #: similarity of LEAST or more always share a kind.
@@ -41,12 +41,6 @@ _EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
 _STARTS = rf"(?<!{_WORD})(?={_WORD})(?=(.{{1,{ANCHOR}}}))"
 
 
-def _points() -> list[int]:
-    """Evenly spaced odd numbers on the circle of 64-bit hashes, in descending order (hashes are even)."""
-    n = ROWS * BANDS
-    return [((2 * i + 1) * (1 << 64) // (2 * n) - (1 << 63)) | 1 for i in reversed(range(n))]
-
-
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
     """One row for each line with a word: ``keep`` columns, line_no from 0, line and its key."""
     rows = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(_WORD))
@@ -56,20 +50,20 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
 def bands(rows: DataFrame) -> DataFrame:
     """Rows of key and line to rows of key and band."""
     kept = [c for c in rows.columns if c != "line"]
-    even = lambda g: F.shiftleft(F.shiftright(F.xxhash64(g), 1), 1)
-    hashed = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), even))
+    hashed = lambda pattern: F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda g: F.xxhash64(g))
     size = F.length("line")
-    short = F.when(size < SHINGLE, F.array(even(F.col("line")))).otherwise(hashed(_EVERY))
-    rows = rows.select(*kept, F.when(size <= SHORT / LEAST, short).alias("h0"), F.when(size >= SHORT, hashed(_STARTS)).alias("h1"))
-    points = F.array(*(F.lit(p).cast("bigint") for p in _points()))
-    # From the top of the circle down: a hash becomes the one that the next points find.
-    step = lambda a, x: F.when(x % 2 != 0, F.struct(a["at"].alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))).otherwise(F.struct(x.alias("at"), a["out"].alias("out")))
-    for c in ("h0", "h1"):
-        start = F.struct(F.array_min(c).alias("at"), F.array().cast("array<bigint>").alias("out"))
-        found = F.aggregate(F.sort_array(F.concat(c, points), asc=False), start, step)["out"]
-        rows = rows.withColumn("v" + c[1], F.when(F.col(c).isNotNull(), found))
-    keys = lambda c: F.when(F.col(c).isNotNull(), F.array(*(F.xxhash64(F.lit(f"{c}.{b}"), *(F.col(c)[b + k * BANDS] for k in range(ROWS))) for b in range(BANDS)))).otherwise(F.array().cast("array<bigint>"))
-    return rows.select(*kept, F.explode(F.concat(keys("v0"), keys("v1"))).alias("band"))
+    short = F.when(size < SHINGLE, F.array(F.xxhash64("line"))).otherwise(hashed(_EVERY))
+    ready = lambda h: F.sort_array(F.array_distinct(h))
+    rows = rows.select(*kept, F.when(size <= SHORT / LEAST, ready(short)).alias("h0"), F.when(size >= SHORT, ready(hashed(_STARTS))).alias("h1"))
+
+    def keys(c: str) -> Column:
+        at = lambda i: F.get(F.col(c), i)
+        arc = lambda i: F.floor(at(i) * F.lit(BANDS / 2.0**64))
+        first = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (arc(i) != arc(i - 1)))
+        made = F.transform(first, lambda i: F.xxhash64(F.lit(c), arc(i), *(at(i + k) for k in range(ROWS))))
+        return F.when(F.size(c) > 0, made).otherwise(F.array().cast("array<bigint>"))
+
+    return rows.select(*kept, F.explode(F.concat(keys("h0"), keys("h1"))).alias("band"))
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -77,21 +71,20 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, str]:
     spark = docs.sparkSession
     rows = lines(docs, "row").withColumn("row", F.xxhash64("row", "line_no")).select("row", "key", "line")
     # Where the sample sees a band often it is dealt out; this moves rows, it changes no band.
-    seen = bands(rows.where(F.pmod("row", F.lit(SAMPLE)) == 0)).groupBy("band").count()
-    least = max(SALT_ROWS // SAMPLE, rows.select("key").where(F.pmod("row", F.lit(SAMPLE)) == 0).count() * BANDS // BROADCAST)
+    seen, seen_path = written(bands(rows.where(F.pmod("row", F.lit(SAMPLE)) == 0)).groupBy("band").count(), "seen")
+    least = max(SALT_ROWS // SAMPLE, (seen.agg(F.sum("count")).first()[0] or 0) // BROADCAST)
     large = seen.where(F.col("count") > least).select(F.col("band").alias("hot"), F.ceil(F.col("count") * SAMPLE / SALT_ROWS).alias("salts"))
     large, large_path = written(large, "bands")  # BROADCAST rows at most: each stands for more than count / BROADCAST
     dealt = bands(rows).join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
-    salts = F.coalesce("salts", F.lit(1))
-    dealt = dealt.select("key", "band", salts.alias("salts"), F.when(salts > 1, F.pmod("row", salts)).otherwise(0).alias("salt"), F.xxhash64("key", "band").alias("rank"))
-    order = Window.partitionBy("band", "salt").orderBy("rank", "key")
-    led = dealt.select("key", "band", "salts", "rank", F.first("key").over(order).alias("a"), F.row_number().over(order).alias("n"))
-    led, led_path = written(led.where("(n > 1 AND a <> key) OR (n = 1 AND salts > 1)"), "led")
-    top = Window.partitionBy("band").orderBy("rank", "key")
+    dealt = dealt.select("key", "band", F.when(F.col("salts").isNotNull(), F.pmod("row", "salts")).cast("int").alias("salt"))
+    order = Window.partitionBy("band", "salt").orderBy(F.xxhash64("key", "band"), "key")
+    led = dealt.select("key", "band", "salt", F.first("key").over(order).alias("a"), F.row_number().over(order).alias("n"))
+    led, led_path = written(led.where("(n > 1 AND a <> key) OR (n = 1 AND salt IS NOT NULL)").drop("salt"), "led")
+    top = Window.partitionBy("band").orderBy(F.xxhash64("key", "band"), "key")
     heads = led.where("n = 1").select("key", F.first("key").over(top).alias("a"))
     pairs = led.where("n > 1").select("key", "a").unionByName(heads.where("a <> key"))
     out = written(pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "pairs")
-    drop(spark, large_path, led_path)
+    drop(spark, seen_path, large_path, led_path)
     return out
 
 
@@ -99,18 +92,26 @@ def _meet(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFram
     return big.join(F.broadcast(small) if rows <= BROADCAST else small, on, how)
 
 
+def _shingles(line: str) -> Column:
+    """All character shingles; a shorter line is one."""
+    every = F.array_distinct(F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1)))
+    return F.when(F.length(line) < SHINGLE, F.array(F.col(line))).otherwise(every)
+
+
 def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(node, root) of the line keys that have a similar line."""
     spark = docs.sparkSession
     pairs, pairs_path = candidates(docs)
     wanted, wanted_path = written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
     found = _meet(lines(docs).select("key", "line"), wanted, "key", "left_semi", wanted.count())
-    all_of = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_EVERY), F.lit(1)), lambda g: F.xxhash64(g)))
-    texts = found.groupBy("key").agg(F.first("line").alias("line")).select("key", F.when(F.length("line") < SHINGLE, F.array(F.xxhash64("line"))).otherwise(all_of).alias("s"))
-    texts, texts_path = written(texts, "texts")
-    x, y = (texts.select(F.col("key").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    texts = found.groupBy("key").agg(F.first("line").alias("line"))
+    texts, texts_path = written(texts.withColumn("n", F.size(_shingles("line"))), "texts")
+    x, y = (texts.select(F.col("key").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    # Sizes bound the similarity; what passes is compared shingle by shingle.
+    sized = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    sized = sized.select("a", "b", "na", "nb", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))).alias("both"))
+    # both >= similarity * (na + nb - both), with both named once: a filter would work it out each time.
+    near = sized.where(F.col("both") * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
     out = components(near)
     drop(spark, pairs_path, wanted_path, texts_path)
     return out
