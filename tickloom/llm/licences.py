@@ -68,11 +68,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     if not known:
         rows = rows.where(F.lit(False))
         known = [("", [""])]
-    fewest = min(len(g) for _, g in known) * least / (2 - least)
-    rows = rows.where(F.size("words") - 1 >= fewest).select("doc_id", "unit", "unit_no", "words")
     w = F.col("words")
     pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select("doc_id", "unit", "unit_no", F.array_distinct(pairs).alias("g")).withColumn("n", F.size("g"))
+    some = F.when(F.size(w) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", "unit", "unit_no", some.alias("g")).withColumn("n", F.size("g"))
     found = []
     for name, grams in known:
         m = len(grams)
@@ -80,5 +79,6 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
         fits = (F.col("n") * (2 - least) >= m * least) & (F.col("n") * least <= m * (2 - least))
         found.append(F.when(fits, F.struct((F.lit(2.0) * both / (F.col("n") + m)).alias("dice"), F.lit(name).alias("licence"))))
     best = F.aggregate(F.array_compact(F.array(*found)), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
-    rows = rows.withColumn("best", best).where(F.col("best.dice") >= least)
+    # A filter on the coefficient would be pushed down to the text and work everything out again for each use of the bigrams.
+    rows = rows.select("doc_id", "unit", "unit_no", F.explode(F.filter(F.array(best), lambda x: x["dice"] >= least)).alias("best"))
     return rows.select("doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), F.col("best.licence").alias("licence"), F.round("best.dice", 6).alias("dice"))
