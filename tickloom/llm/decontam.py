@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, ship, written
+from .shared import cuts, drop, ship, written
 
 #: Lower case for A-Z; what isn't a digit, a letter or beyond ASCII parts words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -90,7 +90,7 @@ def _counts(docs: DataFrame, wanted: set[bytes], size: int) -> dict[bytes, int]:
         from collections import Counter
 
         total: Counter = Counter()
-        for batch in batches:
+        for batch in cuts(batches):
             for text in batch["text"].to_pylist():
                 seq = words(text)
                 if size > 1:
@@ -116,7 +116,7 @@ def _search(rows: DataFrame, docs: DataFrame, block: list, shingle: int, kept: l
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = known.value
-        for batch in batches:
+        for batch in cuts(batches):
             n_words, hits, found = [], [], []
             for text, old_hits, old_items in zip(batch["text"].to_pylist(), batch["hits"].to_pylist(), batch["items"].to_pylist(), strict=True):
                 seq = words(text)

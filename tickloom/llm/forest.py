@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop, ship, written
+from .shared import cuts, drop, ship, written
 
 TREES, BASE, DEEP, REGION = 24, 4, 12, 16
 VALUES = TREES * BASE
@@ -37,7 +37,7 @@ _MUL = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.ui
 _ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 #: Tree t starts with values of its own; deeper levels borrow from the other trees.
 _ORDER = np.array([np.r_[t * BASE : (t + 1) * BASE, _rng.permutation(np.r_[0 : t * BASE, (t + 1) * BASE : VALUES])[: DEEP - BASE]] for t in range(TREES)])
-_CACHED = 400_000
+_CACHED = 200_000
 _words: dict[bytes, int] = {}
 
 
@@ -69,6 +69,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
+def forget() -> None:
+    """Give the word cache's memory back at a task's end: the worker may go on to other stages."""
+    _words.clear()
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """16 bits of each minhash value."""
     best = np.full(VALUES, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64)
@@ -147,7 +152,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tid", F.xxhash64("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cuts(batches):
             n, node, sig = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, shingle)
@@ -155,6 +160,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
                 node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tid"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "tid", "n", "node", "sig"])
+        forget()
 
     signed, signed_path = written(docs.mapInArrow(sign, "doc_id long, tid long, n long, node long, sig binary"), "signatures")
     sets = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first(F.struct("doc_id", "tid")).alias("row"))
@@ -205,13 +211,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     texts, texts_path = written(hit.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cuts(batches):
             ok = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 s, t = shingle_set(x, shingle), shingle_set(y, shingle)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(den * both >= num * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        forget()
 
     def confirmed(some: DataFrame, what: str) -> tuple[DataFrame, str]:
         x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import cuts, ship
 
 DIMS = 4096
 _BITS = 12
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
-        for batch in batches:
+        for batch in cuts(batches):
             for text in batch["text"].to_pylist():
                 if has_letter(text):
                     total += grams(text) > 0
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for batch in batches:
+        for batch in cuts(batches):
             lang, score, out = [], [], []
             for text in batch["text"].to_pylist():
                 if not m["langs"] or not has_letter(text):

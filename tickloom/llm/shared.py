@@ -6,6 +6,7 @@ import io
 import os
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cuts(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches cut to so many rows: a worker's lists and results stay small beside the batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have (case is ignored, as Spark does)."""
     have = {c.lower() for c in df.columns}

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import cuts, ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 UNIGRAM, BPE = 1, 2
-_CACHED, _SHORT = 400_000, 40
+_CACHED, _SHORT = 200_000, 40
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -142,7 +142,7 @@ class Transducer:
     def _pair(self, a: str, b: str) -> bool:
         ok = self.allowed.get((a, b))
         if ok is None:
-            if len(self.allowed) > 4 * _CACHED:
+            if len(self.allowed) >= 2 * _CACHED:
                 self.allowed.clear()
             ok = self.allowed[a, b] = self.merge(a + b) == [a, b] if a else self.merge(b) == [b]
         return ok
@@ -304,7 +304,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model)
-        for batch in batches:
+        for batch in cuts(batches):
             ids, crc, same = [], [], []
             for text in batch["text"].to_pylist():
                 got = t.encode(text)
