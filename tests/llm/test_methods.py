@@ -117,6 +117,30 @@ def test_forest_against_all_pairs(spark, groups, size, edits):
     assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == want
 
 
+def star(rng, size, words, low, high):
+    """Copies of one text with ``low`` to ``high`` words replaced; most are near the text, few near each other."""
+    vocab = [f"w{i}" for i in range(3000)]
+    base = rng.choices(vocab, k=words)
+    out = []
+    for _ in range(size):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randint(low, high)):
+            w[at] = rng.choice(vocab)
+        out.append(" ".join(w))
+    return out
+
+
+def test_forest_on_crowded_groups(spark, monkeypatch):
+    texts = [*star(random.Random(8), 400, 120, 2, 5), *star(random.Random(9), 300, 200, 3, 8)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = brute(sets, 85, 100)
+    assert 10 < len(set(want)) < len(texts) - 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (512, 64):
+        monkeypatch.setattr(forest, "BLOCK", block, raising=False)
+        assert [r["component_id"] for r in forest.near_duplicates(docs).orderBy("doc_id").collect()] == want
+
+
 def test_lines_against_all_pairs(spark):
     rng = random.Random(5)
     texts = family(rng, 50, 3, 3)

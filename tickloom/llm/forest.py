@@ -5,8 +5,8 @@ A document's set of word shingles gets ``VALUES`` minhash values. Each of
 documents with a long common prefix stand side by side. Candidates are the
 documents of a region: a run that agrees in the first ``BASE`` values. Where a
 run holds more than ``REGION`` documents the tree goes one value deeper there,
-and so on to ``DEEP``; a run that is still too large consists of documents that
-agree nearly everywhere, and each meets its neighbour and the run's first one.
+and so on to ``DEEP``; in a run that is still too large each document meets its
+neighbour and the run's first one, which is only an opening: see below.
 Sorting is by range over all trees, so a large group spreads over tasks.
 
 Candidates that a two-bit sketch of all values rules out (beyond 5 standard
@@ -15,11 +15,18 @@ phases. First every set meets its smallest candidate, which settles groups of
 copies with one link each; then those candidates meet that lie in different
 components so far. Equal sets are one node from the start, so exact copies cost
 nothing.
+
+At last the crowded regions (more than ``REGION`` documents that agree in the
+first ``BASE`` values) that hold several components so far are compared whole:
+all their pairs from different components, on full shingle sets. A region is
+dealt out in blocks of about ``BLOCK`` documents and every two blocks are a
+group of their own, so that a task never holds more than two. A component that
+fills blocks of its own isn't compared with itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +38,7 @@ from .components import components
 from .shared import cuts, drop, ship, written
 
 TREES, BASE, DEEP, REGION = 24, 4, 12, 16
+BLOCK = 512
 VALUES = TREES * BASE
 _rng = np.random.default_rng(3)
 _MUL = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,6 +46,8 @@ _ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 #: Tree t starts with values of its own; deeper levels borrow from the other trees.
 _ORDER = np.array([np.r_[t * BASE : (t + 1) * BASE, _rng.permutation(np.r_[0 : t * BASE, (t + 1) * BASE : VALUES])[: DEEP - BASE]] for t in range(TREES)])
 _CACHED = 200_000
+#: Rows of a few numbers up to which a side is broadcast.
+_BROADCAST = 250_000
 _words: dict[bytes, int] = {}
 
 
@@ -136,6 +146,108 @@ def _pairs(label: np.ndarray, sketch: np.ndarray, n: np.ndarray, node: np.ndarra
     return np.minimum(i, j), np.maximum(i, j)
 
 
+def _crowded(sets: DataFrame, roots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, num: int, den: int) -> tuple[DataFrame, str]:
+    """Links (a, b) between the components of ``roots`` in crowded regions, from all pairs there."""
+    spark = sets.sparkSession
+
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(-1, VALUES)
+            base = np.ascontiguousarray(sig).view(np.int64)  # BASE values of 16 bits for each tree
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(base[:, t]), batch["node"]], ["tree", "base", "node"])
+
+    def side(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if small.count() <= _BROADCAST else small
+
+    at = ["tree", "base"]
+    spots = sets.select("sig", "node").mapInArrow(bases, "tree int, base long, node long")
+    crowds, crowds_path = written(spots.groupBy(*at).count().where(F.col("count") > REGION).select(*at), "crowds")
+    members = spots.join(side(crowds), at).join(roots, "node", "left").select(*at, "node", F.coalesce("root", "node").alias("root"))
+    members, members_path = written(members, "members")
+    unsettled, unsettled_path = written(members.groupBy(*at).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*at), "unsettled")
+    rows, rows_path = written(members.join(side(unsettled), at), "rows")
+
+    # Blocks of a region: large components have their own, the others share some.
+    parts = rows.groupBy(*at, "root").count()
+    large, large_path = written(parts.where(F.col("count") > BLOCK).select(*at, "root", F.col("root").alias("own")), "large")
+    own = rows.join(side(large), [*at, "root"], "left")
+    cells = own.groupBy(*at, "own").count().withColumn("salts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+    cells, cells_path = written(cells, "cells")
+    block = F.xxhash64(*at, F.coalesce("own", F.lit(0)), F.col("own").isNull(), "salt").alias("block")
+    blocks = cells.select(*at, "own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(*at, "own", block)
+    other = blocks.select(*at, F.col("own").alias("own2"), F.col("block").alias("block2"))
+    meets = blocks.join(other, at).where("block <= block2 AND (own IS NULL OR own2 IS NULL OR own <> own2)").select("block", "block2", F.xxhash64("block", "block2").alias("task"))
+    sides = meets.select("block", "task", F.lit(0).alias("side")).unionByName(meets.where("block <> block2").select(F.col("block2").alias("block"), "task", F.lit(1).alias("side")))
+    sides, sides_path = written(sides, "sides")
+    met = F.col("own").eqNullSafe(F.col("own2"))
+    dealt = own.join(side(cells.toDF("tree", "base", "own2", "salts")), at).where(met)
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node", "tree"), "salts").cast("int")).select("tree", "node", "root", block)
+    dealt = dealt.join(side(sides), "block").drop("block")
+    seen = rows.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("seen"))
+    held = seen.join(sets.select("node", "sig"), "node").join(texts_of(rows.select("node").distinct()), "node")
+    held, held_path = written(held, "held")
+
+    def compare(group: pa.Table) -> pa.Table:
+        left, right = _across(group, shingle, num, den)
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    links = dealt.join(held, "node").groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+    links, links_path = written(links, "links")
+    drop(spark, crowds_path, members_path, unsettled_path, rows_path, large_path, cells_path, sides_path, held_path)
+    return links, links_path
+
+
+def _across(group: pa.Table, shingle: int, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Enough of the links between rows with different roots to join all that their links join.
+
+    Pairs across the two sides, or all if there is one. Pairs that share an
+    earlier crowded region have been met there.
+    """
+    tree, n = group["tree"][0].as_py(), group.num_rows
+    order = np.argsort(group["side"].to_numpy(), kind="stable")
+    group = group.take(pa.array(order))
+    node, label, seen = (group[c].to_numpy() for c in ("node", "root", "seen"))
+    label = np.unique(label, return_inverse=True)[1]
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(n, VALUES)
+    first = int((group["side"].to_numpy() == 0).sum())
+    share = num / den
+    least = VALUES * share - 5 * np.sqrt(VALUES * share * (1 - share))
+    earlier = (seen[:, None] >> np.arange(tree)) & 1 == 1
+    flat = size = None
+    left, right = [], []
+    for i in range(first):
+        j = np.arange(first if first < n else i + 1, n)
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        same = sig[j] == sig[i]
+        ok = same.sum(axis=1) >= least
+        j, same = j[ok], same[ok]
+        if tree and len(j):
+            j = j[~(same[:, : tree * BASE].reshape(len(j), tree, BASE).all(axis=2) & earlier[i]).any(axis=1)]
+        if not len(j):
+            continue
+        if flat is None:
+            sets = [shingle_set(t, shingle) for t in group["text"].to_pylist()]
+            size = np.array([len(s) for s in sets])
+            flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            mark = np.zeros(int(flat.max()) + 1, np.int32)
+            forget()
+        mark[flat[ends[i] : ends[i + 1]]] = 1
+        both = np.add.reduceat(mark[flat], ends[:-1])[j]
+        mark[flat[ends[i] : ends[i + 1]]] = 0
+        j = j[den * both >= num * (size[i] + size[j] - both)]
+        found, at = np.unique(label[j], return_index=True)
+        left += [int(node[i])] * len(found)
+        right += node[j[at]].tolist()
+        label[np.isin(label, found)] = label[i]
+    return left, right
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
@@ -204,11 +316,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     trees = trees.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     pairs, pairs_path = written(trees.mapInArrow(meet, "a long, b long").distinct(), "pairs")
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """One text of each node."""
+        rows = nodes.join(sets.select("node", "row.*"), "node").toDF("node", "id", "t")
+        hit = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tid") == F.col("t")))
+        return hit.groupBy("node").agg(F.first("text").alias("text"))
+
     # Texts of the sets that have a candidate, one of each.
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(sets.select("node", "row.*"), "node").withColumnRenamed("doc_id", "id")
-    hit = docs.join(wanted.withColumnRenamed("tid", "t"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tid") == F.col("t")))
-    texts, texts_path = written(hit.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts, texts_path = written(texts_of(wanted), "texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cuts(batches):
@@ -230,11 +346,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
     apart = pairs.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     second, second_path = confirmed(apart, "links")
-    final, final_path = components(second.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    held, held_path = components(second.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    third, third_path = _crowded(sets, held, texts_of, shingle, num, den)
+    final, final_path = components(third.unionByName(held.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = sets.select("node", "least").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     names, _ = written(names, "names")
-    drop(spark, sets_path, pairs_path, texts_path, first_path, second_path, roots_path, final_path)
+    drop(spark, sets_path, pairs_path, texts_path, first_path, second_path, roots_path, held_path, third_path, final_path)
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
