@@ -152,6 +152,15 @@ def test_lines_against_all_pairs(spark):
     assert sum(want[i] != i for i in range(len(texts))) > 40 and len(missed) <= 1
 
 
+def test_lines_on_crowded_bands(spark):
+    texts = star(random.Random(10), 200, 10, 1, 1)
+    want = brute([{t[i : i + 5] for i in range(len(t) - 4)} for t in texts], 80, 100)
+    assert len(set(want)) < 100
+    out = {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = [i for i in range(len(texts)) if (want[i] != i) != bool(out[i])]
+    assert len(missed) <= 1
+
+
 # -- 6 ----------------------------------------------------------------------
 @tables
 def test_language_held_out(spark):

@@ -16,6 +16,8 @@ A band's lines meet one of them, its leader; each band has its own order, so
 that leaders differ from band to band and links stay linear in a band's size.
 Bands that a sample of rows shows to be large are split by salts: lines meet
 their salt's leader, salt leaders meet the band's. Equal lines share a key.
+Bands whose lines are then still in several classes are compared whole: all
+their pairs from different classes. A large band is dealt out in blocks for it.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ ROWS, BANDS = 4, 12
 SHORT, LEAST = 80, 0.7
 #: The layout sample is one row in SAMPLE; a salt takes about SALT_ROWS rows of a large band.
 SAMPLE, SALT_ROWS = 64, 2048
+#: A band that is compared whole is dealt out in blocks of about so many lines.
+BLOCK = 256
 #: Rows (of 8 to 16 bytes) up to which a side is broadcast; beyond, Spark shuffles.
 BROADCAST = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]"
@@ -66,8 +70,8 @@ def bands(rows: DataFrame) -> DataFrame:
     return rows.select(*kept, F.explode(F.concat(keys("h0"), keys("h1"))).alias("band"))
 
 
-def candidates(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Pairs of line keys (a < b) that share a band, as a written table and its path."""
+def candidates(docs: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:
+    """Pairs of line keys (a < b), a line and a leader, and the bands' lines (band, key), as written tables and their paths."""
     spark = docs.sparkSession
     rows = lines(docs, "row").withColumn("row", F.xxhash64("row", "line_no")).select("row", "key", "line")
     # Where the sample sees a band often it is dealt out; this moves rows, it changes no band.
@@ -84,8 +88,9 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, str]:
     heads = led.where("n = 1").select("key", F.first("key").over(top).alias("a"))
     pairs = led.where("n > 1").select("key", "a").unionByName(heads.where("a <> key"))
     out = written(pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "pairs")
+    members = written(led.select("band", "key").unionByName(led.select("band", F.col("a").alias("key"))).distinct(), "members")
     drop(spark, seen_path, large_path, led_path)
-    return out
+    return *out, *members
 
 
 def _meet(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFrame:
@@ -101,19 +106,32 @@ def _shingles(line: str) -> Column:
 def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(node, root) of the line keys that have a similar line."""
     spark = docs.sparkSession
-    pairs, pairs_path = candidates(docs)
+    pairs, pairs_path, members, members_path = candidates(docs)
     wanted, wanted_path = written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
     found = _meet(lines(docs).select("key", "line"), wanted, "key", "left_semi", wanted.count())
     texts = found.groupBy("key").agg(F.first("line").alias("line"))
     texts, texts_path = written(texts.withColumn("n", F.size(_shingles("line"))), "texts")
     x, y = (texts.select(F.col("key").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    # Sizes bound the similarity; what passes is compared shingle by shingle.
-    sized = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    sized = sized.select("a", "b", "na", "nb", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))).alias("both"))
-    # both >= similarity * (na + nb - both), with both named once: a filter would work it out each time.
-    near = sized.where(F.col("both") * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
-    out = components(near)
-    drop(spark, pairs_path, wanted_path, texts_path)
+
+    def near(some: DataFrame) -> DataFrame:
+        # Sizes bound the similarity; what passes is compared shingle by shingle.
+        sized = some.join(x, "a").join(y, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+        sized = sized.select("a", "b", "na", "nb", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))).alias("both"))
+        # both >= similarity * (na + nb - both), with both named once: a filter would work it out each time.
+        return sized.where(F.col("both") * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+
+    roots, roots_path = components(near(pairs))
+    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(texts.select("key", "n"), "key")
+    placed, placed_path = written(placed.select("band", "key", "n", F.coalesce("root", "key").alias("root")), "placed")
+    apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2")
+    apart, apart_path = written(apart.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts")), "apart")
+    rows = _meet(placed, apart, "band", "inner", apart.count())
+    p = rows.select("band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    q = rows.select("band", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.pmod(F.xxhash64("key", "band"), "salts").cast("int").alias("salt"))
+    rest = p.join(q, ["band", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
+    rest, rest_path = written(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    out = components(near(rest).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    drop(spark, pairs_path, members_path, wanted_path, texts_path, roots_path, placed_path, apart_path, rest_path)
     return out
 
 
