@@ -152,6 +152,63 @@ def test_lines_against_all_pairs(spark):
     assert sum(want[i] != i for i in range(len(texts))) > 40 and len(missed) <= 1
 
 
+def _line_classes(texts):
+    """Roots over all pairs at 0.8, by first line."""
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_lines_of_any_length_and_kind(spark):
+    """Lines without spaces, one repeated phrase and changed openings are linked like any other."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    x, url = word(199), word(190)
+    phrase = lambda n: ("the same words again and " * 20)[:n]
+    pairs = [("A" + x, "B" + x), ("https" + url, "HTTPS" + url), (phrase(57), phrase(260))]
+    for _ in range(40):  # one character changed anywhere in 160 without a space
+        t = word(160)
+        i = rng.randrange(160)
+        pairs.append((t, t[:i] + "!" + t[i + 1 :]))
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    pairs.append((han, han[:50] + "," + han[51:]))
+    texts = [t for p in pairs for t in p]
+    out = {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(texts))] == [0, 1] * len(pairs)
+
+
+def test_lines_recall_in_groups(spark):
+    """20 groups of 40 edited lines against all pairs."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    texts = []
+    for _ in range(20):
+        base = [rng.choice(words) for _ in range(rng.randint(8, 40))]
+        for _ in range(40):
+            t = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 8))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    want = _line_classes(texts)
+    out = {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    lost = sum(r != i for i, r in enumerate(want))
+    missed = sum(r != i and not out[i] for i, r in enumerate(want))
+    assert lost > 300 and missed <= 0.01 * lost, (missed, lost)
+    assert not any(out[i] for i, r in enumerate(want) if r == i)
+
+
 def test_lines_on_crowded_bands(spark):
     texts = star(random.Random(10), 200, 10, 1, 1)
     want = brute([{t[i : i + 5] for i in range(len(t) - 4)} for t in texts], 80, 100)

@@ -1,48 +1,42 @@
 """Operator 4: fuzzy line deduplication, in DataFrame functions only.
 
-Signatures: the character shingles of ``ANCHOR`` characters that begin at a word
-are hashed once and sorted. Banding: the circle of hashes is cut into ``BANDS``
-arcs; an arc's band is its first ROWS hashes and those that follow, which are the
-least of a random order as minhash values are, so that two lines agree in a band
-with the power ROWS of their sets' Jaccard similarity. Lines that agree in one
-are candidates. Verification: exact Jaccard similarity of the sets of all
-character shingles of ``SHINGLE`` characters.
-Union-find over the confirmed links (see components) makes classes, of which the
-first line stays. (Shingles at words alone are a sixth of all; with all of them
-the signatures of a corpus would cost more than everything else here. Short
-lines, where a word is a large part, are signed by all.)
-
-A band's lines meet one of them, its leader; each band has its own order, so
-that leaders differ from band to band and links stay linear in a band's size.
-Bands that a sample of rows shows to be large are split by salts: lines meet
-their salt's leader, salt leaders meet the band's. Equal lines share a key.
-Bands whose lines are then still in several classes are compared whole: all
-their pairs from different classes. A large band is dealt out in blocks for it.
+Signatures: all character shingles of ``SHINGLE`` characters of a line, whatever
+its length, are hashed once (a shorter line is one shingle) and sorted. Banding:
+``BANDS`` marks stand on the circle of hashes; the ROWS different hashes that
+follow a mark are a band. They are the least of a random order, as minhash
+values are, so that two lines agree in a band with the power ROWS of their sets'
+Jaccard similarity. Lines that agree in one are candidates. Verification: exact
+Jaccard similarity of the sets of shingles. Union-find over the confirmed links
+(see components) makes classes, of which the first line stays.
+
+Only different lines are signed, so copies cost one. A band's lines meet one of
+them, its leader, which settles groups of near copies with one link for each
+line. Bands that a sample of lines shows to be large are split by salts: lines
+meet their salt's leader, salt leaders meet the band's. Bands whose lines are
+then still in several classes are compared whole: every line outside the band's
+largest class meets all lines of other classes, in blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import drop, free_name, written
 
-ANCHOR, SHINGLE = 8, 5
+SHINGLE = 5
 ROWS, BANDS = 4, 12
-#: Lines of up to SHORT characters are signed by all their shingles, longer ones
-#: by those at words; from SHORT to SHORT / LEAST by both, so that two lines with a
-#: similarity of LEAST or more always share a kind.
-SHORT, LEAST = 80, 0.7
-#: The layout sample is one row in SAMPLE; a salt takes about SALT_ROWS rows of a large band.
+#: The layout sample is one line in SAMPLE; a salt takes about SALT_ROWS lines of a large band.
 SAMPLE, SALT_ROWS = 64, 2048
 #: A band that is compared whole is dealt out in blocks of about so many lines.
 BLOCK = 256
-#: Rows (of 8 to 16 bytes) up to which a side is broadcast; beyond, Spark shuffles.
-BROADCAST = 1_000_000
+#: Rows of one or two numbers up to which a side is broadcast (16 MB); beyond, Spark shuffles.
+BROADCAST = 500_000
+#: A class of more than HOT lines is hot: its first line reaches the others by broadcast.
+HOT = 2048
 _WORD = r"[^\x20\x09-\x0D]"
-_EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
-_STARTS = rf"(?<!{_WORD})(?={_WORD})(?=(.{{1,{ANCHOR}}}))"
+_MARKS = [(i << 64) // BANDS - (1 << 63) for i in range(BANDS)]
 
 
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -51,87 +45,89 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("line"))
 
 
+def shingles(line: str) -> Column:
+    """Hashes of the different shingles of a line; a shorter line is one shingle."""
+    # Four bytes a character: a shingle is cut out without walking the line. The array binds the coded line once.
+    begins = lambda e: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(e) - 4 * SHINGLE + 1), F.lit(4))
+    hashed = F.transform(F.array(F.encode(F.col(line), "UTF-32")), lambda e: F.transform(begins(e), lambda i: F.xxhash64(F.substring(e, i, F.lit(4 * SHINGLE)))))
+    return F.array_distinct(F.get(hashed, 0))
+
+
 def bands(rows: DataFrame) -> DataFrame:
     """Rows of key and line to rows of key and band."""
-    kept = [c for c in rows.columns if c != "line"]
-    hashed = lambda pattern: F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda g: F.xxhash64(g))
-    size = F.length("line")
-    short = F.when(size < SHINGLE, F.array(F.xxhash64("line"))).otherwise(hashed(_EVERY))
-    ready = lambda h: F.sort_array(F.array_distinct(h))
-    rows = rows.select(*kept, F.when(size <= SHORT / LEAST, ready(short)).alias("h0"), F.when(size >= SHORT, ready(hashed(_STARTS))).alias("h1"))
+    marks = F.array(*map(F.lit, _MARKS))
+    rows = rows.select("key", F.sort_array(F.concat(shingles("line"), marks)).alias("h"))
+    rows = rows.select("key", F.concat("h", F.slice("h", 1, BANDS + ROWS)).alias("h"))  # a circle
 
-    def keys(c: str) -> Column:
-        at = lambda i: F.get(F.col(c), i)
-        arc = lambda i: F.floor(at(i) * F.lit(BANDS / 2.0**64))
-        first = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (arc(i) != arc(i - 1)))
-        made = F.transform(first, lambda i: F.xxhash64(F.lit(c), arc(i), *(at(i + k) for k in range(ROWS))))
-        return F.when(F.size(c) > 0, made).otherwise(F.array().cast("array<bigint>"))
+    def band(mark: int) -> Column:
+        after = F.slice("h", F.array_position("h", F.lit(mark)).cast("int") + 1, BANDS + ROWS)
+        return F.xxhash64(F.slice(F.array_except(after, marks), 1, ROWS))
 
-    return rows.select(*kept, F.explode(F.concat(keys("h0"), keys("h1"))).alias("band"))
+    made = rows.select("key", F.array_distinct(F.array(*map(band, _MARKS))).alias("made"))
+    return made.select("key", F.explode("made").alias("band"))
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:
     """Pairs of line keys (a < b), a line and a leader, and the bands' lines (band, key), as written tables and their paths."""
     spark = docs.sparkSession
-    rows = lines(docs, "row").withColumn("row", F.xxhash64("row", "line_no")).select("row", "key", "line")
+    some = lines(docs).select("key", "line")
     # Where the sample sees a band often it is dealt out; this moves rows, it changes no band.
-    seen, seen_path = written(bands(rows.where(F.pmod("row", F.lit(SAMPLE)) == 0)).groupBy("band").count(), "seen")
+    seen, seen_path = written(bands(some.where(F.pmod("key", F.lit(SAMPLE)) == 0).distinct()).groupBy("band").count(), "seen")
     least = max(SALT_ROWS // SAMPLE, (seen.agg(F.sum("count")).first()[0] or 0) // BROADCAST)
     large = seen.where(F.col("count") > least).select(F.col("band").alias("hot"), F.ceil(F.col("count") * SAMPLE / SALT_ROWS).alias("salts"))
     large, large_path = written(large, "bands")  # BROADCAST rows at most: each stands for more than count / BROADCAST
-    dealt = bands(rows).join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
-    dealt = dealt.select("key", "band", F.when(F.col("salts").isNotNull(), F.pmod("row", "salts")).cast("int").alias("salt"))
-    order = Window.partitionBy("band", "salt").orderBy(F.xxhash64("key", "band"), "key")
-    led = dealt.select("key", "band", "salt", F.first("key").over(order).alias("a"), F.row_number().over(order).alias("n"))
-    led, led_path = written(led.where("(n > 1 AND a <> key) OR (n = 1 AND salt IS NOT NULL)").drop("salt"), "led")
-    top = Window.partitionBy("band").orderBy(F.xxhash64("key", "band"), "key")
-    heads = led.where("n = 1").select("key", F.first("key").over(top).alias("a"))
-    pairs = led.where("n > 1").select("key", "a").unionByName(heads.where("a <> key"))
+    dealt = bands(some.distinct()).join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key", "band"), "salts")).otherwise(-1).cast("int")
+    dealt = dealt.select("band", salt.alias("salt"), "key").repartition("band", "salt")
+    leaders = dealt.groupBy("band", "salt").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z OR salt >= 0").drop("z")
+    led, led_path = written(dealt.join(leaders.hint("shuffle_hash"), ["band", "salt"]), "led")
+    heads = led.where("salt >= 0 AND key = a").select("band", "key")
+    heads = heads.join(heads.groupBy("band").agg(F.min("key").alias("a")), "band").select("key", "a")
+    pairs = led.select("key", "a").unionByName(heads).where("a <> key")
     out = written(pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "pairs")
-    members = written(led.select("band", "key").unionByName(led.select("band", F.col("a").alias("key"))).distinct(), "members")
-    drop(spark, seen_path, large_path, led_path)
-    return *out, *members
+    drop(spark, seen_path, large_path)
+    return *out, led.select("band", "key"), led_path
 
 
 def _meet(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFrame:
     return big.join(F.broadcast(small) if rows <= BROADCAST else small, on, how)
 
 
-def _shingles(line: str) -> Column:
-    """All character shingles; a shorter line is one."""
-    every = F.array_distinct(F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1)))
-    return F.when(F.length(line) < SHINGLE, F.array(F.col(line))).otherwise(every)
-
-
 def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(node, root) of the line keys that have a similar line."""
     spark = docs.sparkSession
     pairs, pairs_path, members, members_path = candidates(docs)
-    wanted, wanted_path = written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
+    wanted, wanted_path = written(members.select("key").distinct(), "wanted")
     found = _meet(lines(docs).select("key", "line"), wanted, "key", "left_semi", wanted.count())
     texts = found.groupBy("key").agg(F.first("line").alias("line"))
-    texts, texts_path = written(texts.withColumn("n", F.size(_shingles("line"))), "texts")
+    texts, texts_path = written(texts.withColumn("n", F.size(shingles("line"))), "texts")
     x, y = (texts.select(F.col("key").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
 
     def near(some: DataFrame) -> DataFrame:
         # Sizes bound the similarity; what passes is compared shingle by shingle.
         sized = some.join(x, "a").join(y, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        sized = sized.select("a", "b", "na", "nb", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))).alias("both"))
+        sized = sized.select("a", "b", "na", "nb", F.size(F.array_intersect(shingles("la"), shingles("lb"))).alias("both"))
         # both >= similarity * (na + nb - both), with both named once: a filter would work it out each time.
         return sized.where(F.col("both") * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
 
     roots, roots_path = components(near(pairs))
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(texts.select("key", "n"), "key")
     placed, placed_path = written(placed.select("band", "key", "n", F.coalesce("root", "key").alias("root")), "placed")
-    apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2")
-    apart, apart_path = written(apart.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts")), "apart")
-    rows = _meet(placed, apart, "band", "inner", apart.count())
-    p = rows.select("band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    q = rows.select("band", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.pmod(F.xxhash64("key", "band"), "salts").cast("int").alias("salt"))
-    rest = p.join(q, ["band", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-    rest, rest_path = written(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("band")
+    apart, apart_path = written(apart, "apart")
+    rows, rows_path = written(_meet(placed, apart, "band", "left_semi", apart.count()), "apart")
+    parts = rows.groupBy("band", "root").count()
+    main = parts.groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), (F.sum("count") - F.max("count")).alias("m"))
+    main, main_path = written(main.select("band", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts")), "apart")
+    rows = _meet(rows, main, "band", "inner", main.count())
+    p = rows.select("band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    q = rows.where("root <> main").select("band", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.pmod(F.xxhash64("key", "band"), "salts").cast("int").alias("salt"))
+    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    rest = p.join(q, ["band", "salt"]).where((F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("main")) | (F.col("a") < F.col("b"))) & sized)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest, rest_path = written(rest, "pairs")
     out = components(near(rest).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(spark, pairs_path, members_path, wanted_path, texts_path, roots_path, placed_path, apart_path, rest_path)
+    drop(spark, pairs_path, members_path, wanted_path, texts_path, roots_path, placed_path, apart_path, rows_path, main_path, rest_path)
     return out
 
 
@@ -149,23 +145,30 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "removed", "n_removed")
-    tid, row, split, gone = (free_name(docs, c) for c in ("tid", "row", "split", "gone"))
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("tid")).withColumn("row", F.xxhash64("doc_id", "tid"))
+    tid, split, gone, lost_id, lost_tid = (free_name(docs, c) for c in ("tid", "split", "gone", "lost_id", "lost_tid"))
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
     roots, roots_path = classes(d, similarity)
     own = lines(d, "doc_id", "tid").select("doc_id", "tid", "line_no", "key")
     own = _meet(own, roots, F.col("key") == F.col("node"), "left", roots.count())
     own, own_path = written(own.select("doc_id", "tid", "line_no", F.coalesce("root", "key").alias("root")), "lines")
-    many = own.groupBy("root").count().where("count > 1").select("root")
-    repeated, repeated_path = written(own.join(many, "root"), "repeated")
+    counts, counts_path = written(own.groupBy("root").count().where("count > 1"), "counts")
+    n_own, n_many = own.count(), counts.count()
+    # A hot class (BROADCAST of them at most) is settled by broadcast, the others are joined.
+    hot, hot_path = written(counts.where(F.col("count") > max(HOT, n_own // BROADCAST)).select("root"), "hot")
+    light = own.join(F.broadcast(hot), "root", "left_anti")
+    repeated = own.join(F.broadcast(hot), "root").unionByName(_meet(light, counts.select("root"), "root", "left_semi", n_many))
+    repeated, repeated_path = written(repeated, "repeated")
     first = repeated.groupBy("root").agg(F.min(F.struct("doc_id", "tid", "line_no")).alias("first"))
-    place = F.struct("doc_id", "tid", "line_no")
-    lost = repeated.join(first, "root").where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "tid").agg(F.collect_set("line_no").alias("gone"))
-    lost, _ = written(lost.select(F.col("doc_id").alias("lost_id"), F.col("tid").alias("lost_tid"), "gone"), "lost")
+    first, first_path = written(first, "first")
+    placed = repeated.join(F.broadcast(first.join(F.broadcast(hot), "root")), "root")
+    placed = placed.unionByName(_meet(repeated.join(F.broadcast(hot), "root", "left_anti"), first, "root", "inner", 4 * n_many))
+    lost = placed.where(~F.struct("doc_id", "tid", "line_no").eqNullSafe(F.col("first"))).groupBy("doc_id", "tid").agg(F.collect_set("line_no").alias("gone"))
+    lost, _ = written(lost, "lost")
     n_lost = lost.agg(F.sum(F.size("gone") + 2)).first()[0] or 0
-    drop(spark, roots_path, own_path, repeated_path)
-    lost = lost.toDF("_lost_id", "_lost_tid", gone)
+    drop(spark, roots_path, own_path, counts_path, hot_path, repeated_path, first_path)
+    lost = lost.toDF(lost_id, lost_tid, gone)
     rows = docs.withColumn(tid, F.xxhash64("text"))
-    rows = _meet(rows, lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (F.col(tid) == F.col("_lost_tid")), "left", n_lost)
+    rows = _meet(rows, lost, F.col("doc_id").eqNullSafe(F.col(lost_id)) & F.col(tid).eqNullSafe(F.col(lost_tid)), "left", n_lost)
     rows = rows.withColumn(split, F.split("text", "\n"))
     s, g = F.col(split), F.coalesce(F.col(gone), F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(s) - 1), g)

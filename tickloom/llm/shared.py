@@ -11,21 +11,33 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where the session leaves it unset (tests, one machine) a folder beside the
-    warehouse is used and also set as the checkpoint folder.
+    warehouse is used and also set as the checkpoint folder; on a cluster, whose
+    machines may not share that, an error is raised. The application's part of
+    the folder is deleted when the driver ends.
     """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{sc.applicationId}"
+    own = f"{top.rstrip('/')}/{sc.applicationId}"
+    if sc.applicationId not in _MARKED:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(sc.applicationId)
+    return own
 
 
 def written(df: DataFrame, what: str, compression: str = "zstd") -> tuple[DataFrame, str]:
