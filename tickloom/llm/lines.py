@@ -1,4 +1,4 @@
-"""Operator 4: fuzzy line deduplication, in DataFrame functions only.
+"""Operator 4: fuzzy line deduplication.
 
 Signatures: all character shingles of ``SHINGLE`` characters of a line, whatever
 its length, are hashed once (a shorter line is one shingle) and sorted. Banding:
@@ -6,24 +6,33 @@ its length, are hashed once (a shorter line is one shingle) and sorted. Banding:
 follow a mark are a band. They are the least of a random order, as minhash
 values are, so that two lines agree in a band with the power ROWS of their sets'
 Jaccard similarity. Lines that agree in one are candidates. Verification: exact
-Jaccard similarity of the sets of shingles. Union-find over the confirmed links
-(see components) makes classes, of which the first line stays.
-
-Only different lines are signed, so copies cost one. A band's lines meet one of
-them, its leader, which settles groups of near copies with one link for each
-line. Bands that a sample of lines shows to be large are split by salts: lines
-meet their salt's leader, salt leaders meet the band's. Bands whose lines are
-then still in several classes are compared whole: every line outside the band's
-largest class meets all lines of other classes, in blocks.
+Jaccard similarity of the sets of shingles (by 54-bit hashes). Union-find over
+the confirmed links (see components) makes classes, of which the first line stays.
+
+Hashing and comparing run over Arrow batches: with array functions the hashes of
+all shingles alone take most of the time allowed (see the README). All else is
+DataFrame functions.
+
+A band's lines meet one of them, its leader, which settles groups of near copies
+with one link for each line. Bands that a sample of lines shows to be large are
+split by salts: lines meet their salt's leader, salt leaders meet the band's.
+Bands whose lines are then still in several classes are compared whole: every
+line outside the band's largest class meets all lines of other classes, in blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop, free_name, written
+from .shared import cuts, drop, free_name, ship, written
 
 SHINGLE = 5
 ROWS, BANDS = 4, 12
@@ -35,52 +44,143 @@ BLOCK = 256
 BROADCAST = 500_000
 #: A class of more than HOT lines is hot: its first line reaches the others by broadcast.
 HOT = 2048
+#: Characters that are hashed at a time, and lines: their number takes the first bits of a sorted hash.
+SLICE, NUMBER_BITS, PAIR_BITS = 1 << 20, 18, 10
 _WORD = r"[^\x20\x09-\x0D]"
-_MARKS = [(i << 64) // BANDS - (1 << 63) for i in range(BANDS)]
+_SPACE = " \t\n\x0b\x0c\r"
+_MUL = np.random.default_rng(4).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def line_key(line: str) -> int:
+    """64-bit name of a line."""
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def shingle_sets(some: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' shingle hashes, each under its line's number (the first ``bits`` bits), sorted and different; where each line begins."""
+    lens = np.fromiter(map(len, some), np.int64, len(some))
+    c = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(c) - SHINGLE + 1
+    shift = np.uint64(64 - bits)
+    found = []
+    if n > 0:
+        h = c[:n] * _MUL[0]
+        for i in range(1, SHINGLE):
+            h += c[i : n + i] * _MUL[i]
+        ends = np.cumsum(lens)
+        whole = np.ones(len(c), bool)  # not where a shingle would run over its line's end
+        for i in range(1, SHINGLE):
+            whole[np.maximum(ends - i, 0)] = False
+        owner = np.repeat(np.arange(len(some), dtype=np.uint64) << shift, lens)
+        whole = whole[:n]
+        found.append(owner[:n][whole] | (_mix(h[whole]) >> np.uint64(bits)))
+    short = [(i << (64 - bits)) | (xxhash.xxh3_64_intdigest(some[i].encode("utf-8", "surrogatepass"), 5) >> bits) for i in np.flatnonzero(lens < SHINGLE).tolist()]
+    found.append(np.array(short, np.uint64))
+    keys = np.sort(np.concatenate(found))
+    if len(keys):
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return keys, np.append(np.searchsorted(keys, np.arange(len(some), dtype=np.uint64) << shift), len(keys))
+
+
+def bands_of(some: list[str]) -> np.ndarray:
+    """A row of BANDS bands for each line."""
+    width = np.uint64(64 - NUMBER_BITS)
+    keys, edges = shingle_sets(some, NUMBER_BITS)
+    starts, counts = edges[:-1, None], np.diff(edges)[:, None]
+    marks = np.array([(i << int(width)) // BANDS for i in range(BANDS)], np.uint64)
+    at = np.searchsorted(keys, ((np.arange(len(some), dtype=np.uint64) << width)[:, None] | marks).ravel()).reshape(-1, BANDS) - starts
+    total = np.zeros(at.shape, np.uint64)
+    for i in range(ROWS):
+        value = keys[starts + (at + i) % counts] & np.uint64((1 << int(width)) - 1)
+        total += np.where(i < counts, _mix(value * _MUL[0] + _MUL[1]), np.uint64(0))
+    return _mix(total * _MUL[2]).view(np.int64)
+
+
+def _groups(items: list, sizes: list[int], most: int) -> Iterator[list]:
+    """Consecutive items of about SLICE characters together."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (held + n > SLICE or i - begin >= most):
+            yield items[begin:i]
+            begin, held = i, 0
+        held += n
+    if begin < len(items):
+        yield items[begin:]
+
+
+def _split(text: str | None) -> list[tuple[int, str]]:
+    """(number, line) of the lines with a word."""
+    return [(i, x) for i, x in enumerate(text.split("\n")) if x.strip(_SPACE)] if text else []
 
 
-def lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row for each line with a word: ``keep`` columns, line_no from 0, line and its key."""
-    rows = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(_WORD))
-    return rows.withColumn("key", F.xxhash64("line"))
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, tid, line_no (from 0) and key of every line with a word."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cuts(batches):
+            found = [_split(t) for t in batch["text"].to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), np.fromiter(map(len, found), np.int64, len(found))))
+            number = pa.array([i for f in found for i, _ in f], pa.int32())
+            key = pa.array([line_key(x) for f in found for _, x in f], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["tid"].take(row), number, key], ["doc_id", "tid", "line_no", "key"])
 
-def shingles(line: str) -> Column:
-    """Hashes of the different shingles of a line; a shorter line is one shingle."""
-    # Four bytes a character: a shingle is cut out without walking the line. The array binds the coded line once.
-    begins = lambda e: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(e) - 4 * SHINGLE + 1), F.lit(4))
-    hashed = F.transform(F.array(F.encode(F.col(line), "UTF-32")), lambda e: F.transform(begins(e), lambda i: F.xxhash64(F.substring(e, i, F.lit(4 * SHINGLE)))))
-    return F.array_distinct(F.get(hashed, 0))
+    schema = docs.select("doc_id", "tid").withColumns({"line_no": F.lit(0), "key": F.lit(0).cast("long")}).schema
+    for f in schema.fields:
+        f.nullable = True
+    return docs.select("doc_id", "tid", "text").mapInArrow(each, schema)
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """Rows of key and line to rows of key and band."""
-    marks = F.array(*map(F.lit, _MARKS))
-    rows = rows.select("key", F.sort_array(F.concat(shingles("line"), marks)).alias("h"))
-    rows = rows.select("key", F.concat("h", F.slice("h", 1, BANDS + ROWS)).alias("h"))  # a circle
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Keys and lines of a task's texts, each line once in about 250,000 different ones."""
+    seen: set[int] = set()
+    for batch in cuts(batches, 250):
+        keys, some = [], []
+        for text in batch["text"].to_pylist():
+            for _, line in _split(text):
+                k = line_key(line)
+                if k not in seen:
+                    seen.add(k)
+                    keys.append(k)
+                    some.append(line)
+        if keys:
+            yield keys, some
+        if len(seen) > 250_000:
+            seen.clear()
 
-    def band(mark: int) -> Column:
-        after = F.slice("h", F.array_position("h", F.lit(mark)).cast("int") + 1, BANDS + ROWS)
-        return F.xxhash64(F.slice(F.array_except(after, marks), 1, ROWS))
 
-    made = rows.select("key", F.array_distinct(F.array(*map(band, _MARKS))).alias("made"))
-    return made.select("key", F.explode("made").alias("band"))
+def bands(docs: DataFrame, one_in: int = 1) -> DataFrame:
+    """Rows of key, band and part (the task); one_in takes a sample of lines by key."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for keys, some in _different(batches):
+            both = [(k, x) for k, x in zip(keys, some, strict=True) if k % one_in == 0]
+            for group in _groups(both, [len(x) for _, x in both], 1 << NUMBER_BITS):
+                made = bands_of([x for _, x in group])
+                names = np.repeat(np.array([k for k, _ in group], np.int64), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(made.ravel()), pa.array(np.full(len(names), part, np.int32))], ["key", "band", "part"])
+
+    return docs.select("text").mapInArrow(sign, "key long, band long, part int")
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:
     """Pairs of line keys (a < b), a line and a leader, and the bands' lines (band, key), as written tables and their paths."""
     spark = docs.sparkSession
-    some = lines(docs).select("key", "line")
     # Where the sample sees a band often it is dealt out; this moves rows, it changes no band.
-    seen, seen_path = written(bands(some.where(F.pmod("key", F.lit(SAMPLE)) == 0).distinct()).groupBy("band").count(), "seen")
+    seen, seen_path = written(bands(docs, SAMPLE).groupBy("band").count(), "seen")
     least = max(SALT_ROWS // SAMPLE, (seen.agg(F.sum("count")).first()[0] or 0) // BROADCAST)
     large = seen.where(F.col("count") > least).select(F.col("band").alias("hot"), F.ceil(F.col("count") * SAMPLE / SALT_ROWS).alias("salts"))
     large, large_path = written(large, "bands")  # BROADCAST rows at most: each stands for more than count / BROADCAST
-    dealt = bands(some.distinct()).join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
-    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key", "band"), "salts")).otherwise(-1).cast("int")
+    dealt = bands(docs).join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key", "part"), "salts")).otherwise(-1).cast("int")
     dealt = dealt.select("band", salt.alias("salt"), "key").repartition("band", "salt")
     leaders = dealt.groupBy("band", "salt").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z OR salt >= 0").drop("z")
-    led, led_path = written(dealt.join(leaders.hint("shuffle_hash"), ["band", "salt"]), "led")
+    led, led_path = written(dealt.join(leaders.hint("shuffle_hash"), ["band", "salt"]).distinct(), "led")
     heads = led.where("salt >= 0 AND key = a").select("band", "key")
     heads = heads.join(heads.groupBy("band").agg(F.min("key").alias("a")), "band").select("key", "a")
     pairs = led.select("key", "a").unionByName(heads).where("a <> key")
@@ -93,24 +193,50 @@ def _meet(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFram
     return big.join(F.broadcast(small) if rows <= BROADCAST else small, on, how)
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """key, line and n (its shingles) of the lines that are wanted."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, some in _different(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(some, pa.string())], ["key", "line"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cuts(batches):
+            some = batch["line"].to_pylist()
+            n = [np.diff(shingle_sets(g, NUMBER_BITS)[1]) for g in _groups(some, list(map(len, some)), 1 << NUMBER_BITS)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["line"], pa.array(np.concatenate(n) if n else [], pa.int64())], ["key", "line", "n"])
+
+    found = _meet(docs.select("text").mapInArrow(each, "key long, line string"), wanted, "key", "left_semi", rows)
+    return found.groupBy("key").agg(F.first("line").alias("line")).mapInArrow(count, "key long, line string, n long")
+
+
+def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose lines are similar."""
+    x, y = (texts.select(F.col("key").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cuts(batches):
+            both = list(zip(batch["la"].to_pylist(), batch["lb"].to_pylist(), strict=True))
+            ok = []
+            for g in _groups(both, [len(s) + len(t) for s, t in both], 1 << PAIR_BITS):
+                (s, at), (t, bt) = (shingle_sets(list(some), PAIR_BITS) for some in zip(*g, strict=True))
+                same = np.intersect1d(s, t, assume_unique=True) >> np.uint64(64 - PAIR_BITS)
+                common = np.bincount(same.astype(np.int64), minlength=len(g))
+                ok.append(common * (1 + similarity) >= similarity * (np.diff(at) + np.diff(bt)) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(ok) if ok else [], pa.bool_()))
+
+    # Sizes bound the similarity; what passes is compared shingle by shingle.
+    sized = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    return sized.select("a", "b", "la", "lb").mapInArrow(confirm, "a long, b long")
+
+
 def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(node, root) of the line keys that have a similar line."""
     spark = docs.sparkSession
     pairs, pairs_path, members, members_path = candidates(docs)
     wanted, wanted_path = written(members.select("key").distinct(), "wanted")
-    found = _meet(lines(docs).select("key", "line"), wanted, "key", "left_semi", wanted.count())
-    texts = found.groupBy("key").agg(F.first("line").alias("line"))
-    texts, texts_path = written(texts.withColumn("n", F.size(shingles("line"))), "texts")
-    x, y = (texts.select(F.col("key").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-
-    def near(some: DataFrame) -> DataFrame:
-        # Sizes bound the similarity; what passes is compared shingle by shingle.
-        sized = some.join(x, "a").join(y, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        sized = sized.select("a", "b", "na", "nb", F.size(F.array_intersect(shingles("la"), shingles("lb"))).alias("both"))
-        # both >= similarity * (na + nb - both), with both named once: a filter would work it out each time.
-        return sized.where(F.col("both") * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
-
-    roots, roots_path = components(near(pairs))
+    texts, texts_path = written(_texts(docs, wanted, wanted.count()), "texts")
+    roots, roots_path = components(_near(pairs, texts, similarity))
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(texts.select("key", "n"), "key")
     placed, placed_path = written(placed.select("band", "key", "n", F.coalesce("root", "key").alias("root")), "placed")
     apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("band")
@@ -126,7 +252,7 @@ def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     rest = p.join(q, ["band", "salt"]).where((F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("main")) | (F.col("a") < F.col("b"))) & sized)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest, rest_path = written(rest, "pairs")
-    out = components(near(rest).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    out = components(_near(rest, texts, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     drop(spark, pairs_path, members_path, wanted_path, texts_path, roots_path, placed_path, apart_path, rows_path, main_path, rest_path)
     return out
 
@@ -147,9 +273,9 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     docs = docs.drop("n_lines", "removed", "n_removed")
     tid, split, gone, lost_id, lost_tid = (free_name(docs, c) for c in ("tid", "split", "gone", "lost_id", "lost_tid"))
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    ship(spark)
     roots, roots_path = classes(d, similarity)
-    own = lines(d, "doc_id", "tid").select("doc_id", "tid", "line_no", "key")
-    own = _meet(own, roots, F.col("key") == F.col("node"), "left", roots.count())
+    own = _meet(lines(d), roots, F.col("key") == F.col("node"), "left", roots.count())
     own, own_path = written(own.select("doc_id", "tid", "line_no", F.coalesce("root", "key").alias("root")), "lines")
     counts, counts_path = written(own.groupBy("root").count().where("count > 1"), "counts")
     n_own, n_many = own.count(), counts.count()
