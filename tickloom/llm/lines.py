@@ -5,8 +5,9 @@ its length, are hashed once (a shorter line is one shingle) and sorted. Banding:
 ``BANDS`` marks stand on the circle of hashes; the ROWS different hashes that
 follow a mark are a band. They are the least of a random order, as minhash
 values are, so that two lines agree in a band with the power ROWS of their sets'
-Jaccard similarity. Lines that agree in one are candidates. Verification: exact
-Jaccard similarity of the sets of shingles (by 54-bit hashes). Union-find over
+Jaccard similarity. Lines that agree in one are candidates; those that sizes or a sketch
+of SKETCH bits rule out go. Verification: exact Jaccard similarity of the sets of
+shingles (by 54-bit hashes). Union-find over
 the confirmed links (see components) makes classes, of which the first line stays.
 
 Hashing and comparing run over Arrow batches: with array functions the hashes of
@@ -28,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cuts, drop, free_name, ship, written
 
 SHINGLE = 5
-ROWS, BANDS = 4, 12
+ROWS, BANDS, SKETCH = 4, 12, 256
 #: The layout sample is one line in SAMPLE; a salt takes about SALT_ROWS lines of a large band.
 SAMPLE, SALT_ROWS = 64, 2048
 #: A band that is compared whole is dealt out in blocks of about so many lines.
@@ -87,18 +88,25 @@ def shingle_sets(some: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.append(np.searchsorted(keys, np.arange(len(some), dtype=np.uint64) << shift), len(keys))
 
 
-def bands_of(some: list[str]) -> np.ndarray:
-    """A row of BANDS bands for each line."""
-    width = np.uint64(64 - NUMBER_BITS)
+def signatures(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's number of shingles, a row of BANDS bands and a row of SKETCH bits: the last bit of the hash that follows a mark."""
+    width = 64 - NUMBER_BITS
     keys, edges = shingle_sets(some, NUMBER_BITS)
     starts, counts = edges[:-1, None], np.diff(edges)[:, None]
-    marks = np.array([(i << int(width)) // BANDS for i in range(BANDS)], np.uint64)
-    at = np.searchsorted(keys, ((np.arange(len(some), dtype=np.uint64) << width)[:, None] | marks).ravel()).reshape(-1, BANDS) - starts
+    cell = (keys >> np.uint64(width)) * np.uint64(SKETCH) + ((keys & np.uint64((1 << width) - 1)) >> np.uint64(width - SKETCH.bit_length() + 1))
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    after = np.full(len(some) * SKETCH, len(keys), np.int64)
+    after[cell[first].astype(np.int64)] = first
+    after = after.reshape(-1, SKETCH)
+    after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
+    after = np.where(after == len(keys), starts, after)  # a circle
+    bits = np.packbits((keys[after] & np.uint64(1)).astype(bool), axis=1)
+    at = after[:, np.arange(BANDS) * SKETCH // BANDS] - starts
     total = np.zeros(at.shape, np.uint64)
     for i in range(ROWS):
-        value = keys[starts + (at + i) % counts] & np.uint64((1 << int(width)) - 1)
+        value = keys[starts + (at + i) % counts] & np.uint64((1 << width) - 1)
         total += np.where(i < counts, _mix(value * _MUL[0] + _MUL[1]), np.uint64(0))
-    return _mix(total * _MUL[2]).view(np.int64)
+    return counts[:, 0], _mix(total * _MUL[2]).view(np.int64), bits.view(np.int64)
 
 
 def _groups(items: list, sizes: list[int], most: int) -> Iterator[list]:
@@ -153,67 +161,73 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
             seen.clear()
 
 
-def bands(docs: DataFrame, one_in: int = 1) -> DataFrame:
-    """Rows of key, band and part (the task); one_in takes a sample of lines by key."""
+def signed(docs: DataFrame) -> DataFrame:
+    """key, part (the task), n, sketch words and bands of a task's different lines."""
+    words = [f"s{i}" for i in range(SKETCH // 64)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for keys, some in _different(batches):
-            both = [(k, x) for k, x in zip(keys, some, strict=True) if k % one_in == 0]
-            for group in _groups(both, [len(x) for _, x in both], 1 << NUMBER_BITS):
-                made = bands_of([x for _, x in group])
-                names = np.repeat(np.array([k for k, _ in group], np.int64), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(made.ravel()), pa.array(np.full(len(names), part, np.int32))], ["key", "band", "part"])
+            for group in _groups(list(zip(keys, some, strict=True)), list(map(len, some)), 1 << NUMBER_BITS):
+                n, bands, bits = signatures([x for _, x in group])
+                ends = pa.array(np.arange(len(group) + 1, dtype=np.int32) * BANDS)
+                cols = [pa.array([k for k, _ in group], pa.int64()), pa.array(np.full(len(group), part, np.int32)), pa.array(n)]
+                cols += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(words))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], ["key", "part", "n", *words, "bands"])
 
-    return docs.select("text").mapInArrow(sign, "key long, band long, part int")
+    return docs.select("text").mapInArrow(sign, "key long, part int, n long, " + "".join(f"{w} long, " for w in words) + "bands array<long>")
 
 
-def candidates(docs: DataFrame) -> tuple[DataFrame, str, DataFrame, str]:
-    """Pairs of line keys (a < b), a line and a leader, and the bands' lines (band, key), as written tables and their paths."""
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Pairs of line keys (a < b), a line and a leader; the bands' lines (band, key); sketches by key; the tables' paths."""
     spark = docs.sparkSession
+    made, made_path = written(signed(docs), "signed")
+    rows = made.select("key", "part", F.explode_outer("bands").alias("band"))
     # Where the sample sees a band often it is dealt out; this moves rows, it changes no band.
-    seen, seen_path = written(bands(docs, SAMPLE).groupBy("band").count(), "seen")
+    seen, seen_path = written(rows.where(F.pmod("key", F.lit(SAMPLE)) == 0).groupBy("band").count(), "seen")
     least = max(SALT_ROWS // SAMPLE, (seen.agg(F.sum("count")).first()[0] or 0) // BROADCAST)
     large = seen.where(F.col("count") > least).select(F.col("band").alias("hot"), F.ceil(F.col("count") * SAMPLE / SALT_ROWS).alias("salts"))
     large, large_path = written(large, "bands")  # BROADCAST rows at most: each stands for more than count / BROADCAST
-    dealt = bands(docs).join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key", "part"), "salts")).otherwise(-1).cast("int")
+    dealt = rows.join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
     dealt = dealt.select("band", salt.alias("salt"), "key").repartition("band", "salt")
     leaders = dealt.groupBy("band", "salt").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z OR salt >= 0").drop("z")
     led, led_path = written(dealt.join(leaders.hint("shuffle_hash"), ["band", "salt"]).distinct(), "led")
     heads = led.where("salt >= 0 AND key = a").select("band", "key")
     heads = heads.join(heads.groupBy("band").agg(F.min("key").alias("a")), "band").select("key", "a")
     pairs = led.select("key", "a").unionByName(heads).where("a <> key")
-    out = written(pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "pairs")
-    drop(spark, seen_path, large_path)
-    return *out, led.select("band", "key"), led_path
+    pairs, pairs_path = written(pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "pairs")
+    words = [c for c in made.columns if c[0] == "s"]
+    sketches, sketches_path = written(made.groupBy("key").agg(*(F.max(c).alias(c) for c in ["n", *words])), "sketches")  # equal for a key
+    drop(spark, made_path, seen_path, large_path)
+    return pairs, led.select("band", "key"), sketches, [pairs_path, led_path, sketches_path]
+
+
+def _side(sketches: DataFrame, x: str) -> DataFrame:
+    return sketches.toDF(x, *(f"{c}{x}" for c in sketches.columns[1:]))
+
+
+def _alike(similarity: float) -> Column:
+    """Whether sizes and sketches of a pair allow its similarity, by five standard deviations of a sketch."""
+    apart = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(SKETCH // 64)), F.lit(0))
+    agree = (1 + similarity) / 2  # a bit agrees by chance as well
+    drawn = F.least(F.lit(SKETCH), "na", "nb")  # a small set has fewer hashes than marks
+    enough = apart <= SKETCH * (1 - agree + 5 * F.sqrt(agree * (1 - agree) / drawn))
+    return (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & enough
 
 
 def _meet(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFrame:
     return big.join(F.broadcast(small) if rows <= BROADCAST else small, on, how)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """key, line and n (its shingles) of the lines that are wanted."""
+def _near(pairs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of a written table whose lines are similar by their texts, and the path."""
+    spark = docs.sparkSession
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, some in _different(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(some, pa.string())], ["key", "line"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cuts(batches):
-            some = batch["line"].to_pylist()
-            n = [np.diff(shingle_sets(g, NUMBER_BITS)[1]) for g in _groups(some, list(map(len, some)), 1 << NUMBER_BITS)]
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["line"], pa.array(np.concatenate(n) if n else [], pa.int64())], ["key", "line", "n"])
-
-    found = _meet(docs.select("text").mapInArrow(each, "key long, line string"), wanted, "key", "left_semi", rows)
-    return found.groupBy("key").agg(F.first("line").alias("line")).mapInArrow(count, "key long, line string, n long")
-
-
-def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar."""
-    x, y = (texts.select(F.col("key").alias(k), F.col("line").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cuts(batches):
             both = list(zip(batch["la"].to_pylist(), batch["lb"].to_pylist(), strict=True))
@@ -225,35 +239,42 @@ def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 ok.append(common * (1 + similarity) >= similarity * (np.diff(at) + np.diff(bt)) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(ok) if ok else [], pa.bool_()))
 
-    # Sizes bound the similarity; what passes is compared shingle by shingle.
-    sized = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    return sized.select("a", "b", "la", "lb").mapInArrow(confirm, "a long, b long")
+    wanted, wanted_path = written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
+    found = _meet(docs.select("text").mapInArrow(each, "key long, line string"), wanted, "key", "left_semi", wanted.count())
+    texts, texts_path = written(found.groupBy("key").agg(F.first("line").alias("l")), "texts")
+    sides = pairs.join(_side(texts, "a"), "a").join(_side(texts, "b"), "b")
+    near, near_path = written(sides.select("a", "b", "la", "lb").mapInArrow(confirm, "a long, b long"), "near")
+    drop(spark, wanted_path, texts_path)
+    return near, near_path
 
 
 def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(node, root) of the line keys that have a similar line."""
     spark = docs.sparkSession
-    pairs, pairs_path, members, members_path = candidates(docs)
-    wanted, wanted_path = written(members.select("key").distinct(), "wanted")
-    texts, texts_path = written(_texts(docs, wanted, wanted.count()), "texts")
-    roots, roots_path = components(_near(pairs, texts, similarity))
-    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(texts.select("key", "n"), "key")
-    placed, placed_path = written(placed.select("band", "key", "n", F.coalesce("root", "key").alias("root")), "placed")
+    pairs, members, sketches, paths = candidates(docs)
+    alike = pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").where(_alike(similarity)).select("a", "b")
+    alike, alike_path = written(alike, "alike")
+    near, near_path = _near(alike, docs, similarity)
+    roots, roots_path = components(near)
+    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    placed, placed_path = written(placed.select("band", "key", F.coalesce("root", "key").alias("root")), "placed")
     apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("band")
     apart, apart_path = written(apart, "apart")
     rows, rows_path = written(_meet(placed, apart, "band", "left_semi", apart.count()), "apart")
     parts = rows.groupBy("band", "root").count()
     main = parts.groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), (F.sum("count") - F.max("count")).alias("m"))
     main, main_path = written(main.select("band", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts")), "apart")
-    rows = _meet(rows, main, "band", "inner", main.count())
-    p = rows.select("band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    q = rows.where("root <> main").select("band", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.pmod(F.xxhash64("key", "band"), "salts").cast("int").alias("salt"))
-    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-    rest = p.join(q, ["band", "salt"]).where((F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("main")) | (F.col("a") < F.col("b"))) & sized)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest, rest_path = written(rest, "pairs")
-    out = components(_near(rest, texts, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(spark, pairs_path, members_path, wanted_path, texts_path, roots_path, placed_path, apart_path, rows_path, main_path, rest_path)
+    rows = _meet(rows, main, "band", "inner", 2 * main.count())
+    p = rows.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    q = rows.where("root <> main").select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.pmod(F.xxhash64("key", "band"), "salts").cast("int").alias("salt"))
+    p, q = p.join(_side(sketches, "a"), "a"), q.join(_side(sketches, "b"), "b")
+    rest = p.join(q, ["band", "salt"]).where((F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike(similarity))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(alike, ["a", "b"], "left_anti")
+    rest, rest_path = written(rest, "rest")
+    drop(spark, *paths, placed_path, apart_path, rows_path, main_path)
+    more, more_path = _near(rest, docs, similarity)
+    out = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    drop(spark, alike_path, near_path, roots_path, rest_path, more_path)
     return out
 
 
