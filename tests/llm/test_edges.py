@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tickloom.llm import decontam, forest, langid, lengths, licences, lines, quality, rans, sharding, wfst
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -46,9 +47,9 @@ def test_quality(docs, none):
     assert quality.estimate([], 3)[0] == 0.5
 
 
-def test_rans(spark, docs, none):
-    files = rans.write_tokens(docs, BPE, 2)
-    got = rans.read_tokens(spark, files, with_ids=True).orderBy("start").collect()
+def test_rans(spark, docs, none, tmp_path):
+    path = rans.write_tokens(docs, BPE, 2, str(tmp_path / "tokens"))
+    got = rans.read_tokens(spark.newSession(), path, with_ids=True).orderBy("start").collect()
     assert len(got) == len(ROWS)
     tok = Tokenizer.from_file(BPE)
     want = sorted(([i, t] for i, t in ROWS), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -60,7 +61,7 @@ def test_rans(spark, docs, none):
         assert r["ids"] in options and r["start"] == at and r["n_tokens"] == len(r["ids"])
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         at += r["n_tokens"]
-    assert files["n_ids"] == at
+    assert spark.read.parquet(f"{path}/parts").selectExpr("sum(n)").first()[0] == at
     assert rans.read_tokens(spark, rans.write_tokens(none, BPE, 2)).count() == 0
 
 
@@ -155,3 +156,33 @@ def test_pieces(docs, none):
     for r in got:
         assert r["ids"] in want[str(r["doc_id"])] and r["n_ids"] == len(r["ids"]) and r["round_trip"] == ("▁" not in (r["text"] or ""))
     assert wfst.encode_documents(none, PIECES).count() == 0
+
+
+PIPE = [(1, TEXT), (1, "another text of some eight or nine words altogether here"), (None, TEXT), (None, "alone without an id but with its own words"), (2, None), (3, ""), (4, " "), (5, TEXT), (5, TEXT)]
+
+
+def _pipe(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, tid int, lost_id int")
+
+
+def test_stage_near_dedup(spark):
+    """Rows that share a doc_id, or have none, lose only what is a copy; clashing columns stay."""
+    docs = _pipe(spark, PIPE)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted((i or 0, t or "") for i, t in [PIPE[0], PIPE[1], PIPE[3], PIPE[4], PIPE[5], PIPE[6]])
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_on_edges(spark):
+    docs = _pipe(spark, PIPE)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "near_dedup":
+            continue
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() <= len(PIPE) and stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+    kept = {r["text"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert None not in kept and "" not in kept and " " not in kept and TEXT in kept

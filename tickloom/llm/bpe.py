@@ -10,6 +10,7 @@ special token, go to the library whole. Results equal ``Tokenizer.encode``.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: themselves, the rest for the characters from U+0100 on, in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b if b in _PRINTABLE else 256 + [x for x in range(256) if x not in _PRINTABLE].index(b) for b in range(256)}
+_SPACE = chr(_ALPHABET[32])
 #: Entries at which a cache is emptied: a bound of about 100 MB for each.
 _CACHED = 500_000
 #: Bytes of text that are worked on at a time.
@@ -58,6 +60,7 @@ class Encoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.width = self.dtype.itemsize
+        self.code = "H" if self.width == 2 else "I"
         pre = spec.get("pre_tokenizer") or {}
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = (
@@ -78,15 +81,21 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """One word of the pre-tokeniser: the library's BPE model alone."""
-        spelt = word.encode("utf-8", "replace").decode("latin-1").translate(_ALPHABET)
-        return np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
+        if word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            spelt = _SPACE + word[1:] if word[0] == " " else word  # letters stand for themselves
+        else:
+            spelt = word.encode("utf-8", "replace").decode("latin-1").translate(_ALPHABET)
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _head(self, unit: str) -> bytes:
         return (self.newline if unit[0] == "\n" else b"") + self._split(unit[1:])
 
     def _split(self, piece: str) -> bytes:
         words = self.words
-        return b"".join([words[w] for w in _WORDS.findall(piece)])
+        if piece[1:].isalpha() and piece.isascii() and piece[0] == " ":
+            return words[piece]  # one word: a space and letters
+        found = _WORDS.findall(piece)
+        return words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
 
     def ids(self, text: str) -> bytes:
         """Ids of one text."""

@@ -248,8 +248,8 @@ def _across(group: pa.Table, shingle: int, num: int, den: int) -> tuple[list[int
     return left, right
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
+def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100, rows: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept; with ``rows`` also tid and stays.
 
     Two documents are linked if den * |intersection| >= num * |union| of their
     shingle sets; component_id is the least doc_id that links reach. A null or
@@ -258,6 +258,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     get the same kept). A null doc_id takes part but never names a component; a
     component of such rows alone has a null component_id and they are kept. An
     empty table gives no rows; other columns aren't read.
+
+    tid is the text's xxhash64. stays is true for the rows of one (doc_id, text)
+    of each component (the least doc_id, nulls last, then tid) and for rows
+    without shingles, so that doc_ids that are null or shared lose no text.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -274,8 +278,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tid"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "tid", "n", "node", "sig"])
         forget()
 
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tid")
     signed, signed_path = written(docs.mapInArrow(sign, "doc_id long, tid long, n long, node long, sig binary"), "signatures")
-    sets = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first(F.struct("doc_id", "tid")).alias("row"))
+    sets = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first(F.struct("doc_id", "tid")).alias("row"), F.min(place).alias("head"))
     sets, sets_path = written(sets, "sets")
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,14 +354,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     held, held_path = components(second.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     third, third_path = _crowded(sets, held, texts_of, shingle, num, den)
     final, final_path = components(third.unionByName(held.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = sets.select("node", "least").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    named = sets.select("node", "least", "head").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named.join(named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("first")), "root").select("node", "component_id", "first")
     names, _ = written(names, "names")
     drop(spark, sets_path, pairs_path, texts_path, first_path, second_path, roots_path, held_path, third_path, final_path)
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
+    out = signed.select("doc_id", "tid", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    more = ["tid", ((F.col("n_shingles") == 0) | (place == F.col("first"))).alias("stays")] if rows else []
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept, *more)
 
 
 def _fixed(values: np.ndarray) -> pa.Array:

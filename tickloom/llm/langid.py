@@ -3,7 +3,9 @@
 A text becomes a TF-IDF vector of hashed byte n-grams, normalised to length 1.
 Inverse document frequencies count every labelled training text. Each language
 gets several centroids by spherical k-means over a bounded sample of its
-training texts (``per_language``, the ones with the smallest hash). A text takes
+training texts (``per_language`` different ones, those with the smallest hash; rows of the
+language are thinned by a bound on the hash before any are shuffled, so that of a language
+whose rows are mostly copies there may be fewer). A text takes
 the language of the centroid with the largest cosine, which is its score; one
 that is far from every centroid, measured by how far the sample itself lies, is
 rejected.
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cuts, ship
+from .shared import cuts, drop, ship, written
 
 DIMS = 4096
 _BITS = 12
@@ -28,6 +30,8 @@ _BITS = 12
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+#: Characters from which a text must come as near as the sample did; shorter ones in proportion.
+SURE = 40
 
 
 def has_letter(text: str | None) -> bool:
@@ -77,7 +81,7 @@ def cluster(x: np.ndarray, k: int, seed: int = 6, rounds: int = 15) -> np.ndarra
     return c
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack: float = 0.35) -> dict:
+def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack: float = 0.6) -> dict:
     """Learn from columns text and lang; rows without a lang or a letter are left out.
 
     The model is small: DIMS weights and ``centroids`` vectors for each language.
@@ -105,17 +109,25 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack
             df[r["dim"]] = r["n"]
     idf = (np.log((1 + n_texts) / (1 + df)) + 1).astype(np.float32)
 
-    # row_number() <= n is cut down in each partition before it is shuffled.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    # A language's sample: the per_language least hashes of its different texts. The aggregate below keeps the
+    # languages' counts, so that a hash bound for each thins its rows before any are shuffled.
+    lettered = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"))
+    sizes = lettered.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("rows") + F.lit(20.0) * F.sqrt(F.lit(float(per_language))) / F.col("rows"))
+    bound = sizes.select("lang", (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("bound"))
+    thin = lettered.join(F.broadcast(bound), "lang").where("h < bound OR bound >= 9.2e18").select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy("h")
+    names, names_path = written(thin.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("lang", "h"), "sample")
+    chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(names), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack([vector(t, idf) for t in pdf["text"]])
+        x = np.vstack([vector(t, idf) for t in pdf.sort_values(["h", "text"])["text"]])
         c = cluster(x, centroids)
         least = slack * float(np.quantile((x @ c.T).max(axis=1), 0.005))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "least": least, "c": [v.astype(np.float32).tobytes() for v in c]})
 
-    found = sample.select("lang", "text").groupBy("lang").applyInPandas(learn, "lang string, least double, c binary").orderBy("lang", "c").collect()
+    found = chosen.select("lang", "h", "text").groupBy("lang").applyInPandas(learn, "lang string, least double, c binary").orderBy("lang", "c").collect()
+    drop(spark, names_path)
     return {
         "idf": idf,
         "langs": [r["lang"] for r in found],
@@ -149,7 +161,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 i = int(cos.argmax())
                 lang.append(m["langs"][i])
                 score.append(float(min(1, max(0, cos[i]))))
-                out.append(bool(cos[i] < m["least"][i]))
+                out.append(bool(cos[i] < m["least"][i] * min(1.0, len(text) / SURE)))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "rejected": F.lit(True)}).schema

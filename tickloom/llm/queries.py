@@ -26,8 +26,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import read_tokens, write_tokens
 
-    files = write_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
-    return read_tokens(spark, files)
+    path = write_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

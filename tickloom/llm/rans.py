@@ -5,24 +5,27 @@ holds whole documents in ascending order; its ids are dealt over ``lanes``
 interleaved rANS states that share one stream of 32-bit words. Every
 ``CHECKPOINT`` steps the block lists the lanes' states and the place in the
 stream, so that decoding may start there; each stretch between checkpoints has a
-crc32. Blocks are rows of a table in the shared folder: Spark's commit protocol
-makes a lost executor's blocks appear once, and any block decodes by itself.
+crc32. Blocks are rows of a Parquet table: Spark's commit protocol makes a lost
+executor's blocks appear once, and any block decodes by itself with the
+frequency table that stands beside them.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import drop, ship, written
+from .shared import cuts, drop, shared_dir, ship, written
 
 SCALE = 20  # bits of the frequency table's total
 LOW = np.uint64(1 << 31)  # states are at least this
@@ -142,14 +145,20 @@ def decode_block(data: bytes, table: Table, every: int = CHECKPOINT, stretches:
 _BLOCK = "part int, at long, doc_ids array<long>, lengths array<long>, ids binary"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> dict:
-    """Encode, sort by doc_id and write the format. Returns what ``read_tokens`` needs.
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> str:
+    """Encode, sort by doc_id and write the format. Returns the path, which is all that ``read_tokens`` needs.
+
+    Without a ``path`` the files are put in the shared folder, until the driver
+    ends. A path holds three Parquet tables: ``table`` (id, freq: the frequency
+    table), ``parts`` (part, n, start: the ids of each part of the files and
+    those before it) and ``blocks`` (part, at, doc_ids, lengths, block).
 
     A null text is empty: it gets the end id alone. Rows with a null doc_id come
-    first; rows that agree in doc_id are ordered by text. An empty table makes no
-    blocks. Other columns aren't read.
+    first; rows that agree in doc_id are ordered by a hash of the text, equal
+    ones are alike. An empty table makes no blocks. Other columns aren't read.
     """
     spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
@@ -212,31 +221,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> dict:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
-        for batch in batches:
+        for batch in cuts(batches, 16):  # a row is a whole block
             out = [encode_block(np.frombuffer(x.as_buffer(), dtype), table) for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["part"], batch["at"], batch["doc_ids"], batch["lengths"], pa.array(out, pa.binary())],
                 ["part", "at", "doc_ids", "lengths", "block"],
             )
 
-    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a whole block
-    try:
-        blocks, path = written(tokens.mapInArrow(pack, _BLOCK.replace("ids binary", "block binary")), "rans", "uncompressed")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
-    # A number for each partition of the writing stage.
+    packed = tokens.mapInArrow(pack, _BLOCK.replace("ids binary", "block binary"))
+    packed.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # A row for each id of the vocabulary, and one for each partition of the writing stage.
+    spark.createDataFrame(pd.DataFrame({"id": np.arange(vocab), "freq": freq})).coalesce(1).write.parquet(f"{path}/table")
     sums = tokens.select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()
-    starts, at = {}, 0
-    for part, n in sorted((r["part"], r["n"]) for r in sums):
-        starts[part], at = at, at + n
+    parts = pd.DataFrame(sorted((r["part"], r["n"]) for r in sums), columns=["part", "n"]).astype("int64")
+    parts["start"] = parts["n"].cumsum() - parts["n"]
+    spark.createDataFrame(parts, "part long, n long, start long").coalesce(1).write.parquet(f"{path}/parts")
     drop(spark, tokens_path)
-    return {"path": path, "blocks": blocks, "freq": shared, "starts": starts, "n_ids": at, "dtype": dtype}
+    return path
 
 
-def read_tokens(spark, files: dict, with_ids: bool = False) -> DataFrame:
-    """Decode the blocks: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids."""
-    shared, starts = files["freq"], spark.sparkContext.broadcast(files["starts"])
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """Decode the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids. Nothing but the path is needed."""
+    ship(spark)
+    freq = [r["freq"] for r in spark.read.parquet(f"{path}/table").orderBy("id").collect()]  # the vocabulary's size
+    starts = spark.sparkContext.broadcast({r["part"]: r["start"] for r in spark.read.parquet(f"{path}/parts").collect()})
+    shared = spark.sparkContext.broadcast(np.array(freq, np.int64))
     tables: list[Table] = []
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +261,7 @@ def read_tokens(spark, files: dict, with_ids: bool = False) -> DataFrame:
                 begins = ends - lengths
                 at = starts.value[batch["part"][i].as_py()] + batch["at"][i].as_py()
                 raw = ids.tobytes()
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins, ends, strict=True)]
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 cols = [batch["doc_ids"][i].values, pa.array(begins + at), pa.array(lengths), pa.array(crc, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
@@ -261,4 +270,5 @@ def read_tokens(spark, files: dict, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return files["blocks"].mapInArrow(unpack, schema)
+    blocks = spark.read.schema(_BLOCK.replace("ids binary", "block binary")).parquet(f"{path}/blocks")
+    return blocks.mapInArrow(unpack, schema)
