@@ -36,7 +36,10 @@ from .components import components
 from .shared import cuts, drop, free_name, ship, written
 
 SHINGLE = 5
-ROWS, BANDS, SKETCH = 4, 12, 256
+ROWS, BANDS, SKETCH = 5, 14, 256
+#: Small sets have few different bands: up to SMALL shingles they get bands of FEW hashes as well. (A set of 40 is only
+#: similar to sets of up to 50, so that two similar lines have wide bands in common or both have these.)
+FEW, SMALL = 3, 50
 #: The layout sample is one line in SAMPLE; a salt takes about SALT_ROWS lines of a large band.
 SAMPLE, SALT_ROWS = 64, 2048
 #: A band that is compared whole is dealt out in blocks of about so many lines.
@@ -88,8 +91,8 @@ def shingle_sets(some: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.append(np.searchsorted(keys, np.arange(len(some), dtype=np.uint64) << shift), len(keys))
 
 
-def signatures(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each line's number of shingles, a row of BANDS bands and a row of SKETCH bits: the last bit of the hash that follows a mark."""
+def signatures(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's number of shingles; a row of SKETCH bits (the last bit of the hash that follows a mark); all bands and how many each line has."""
     width = 64 - NUMBER_BITS
     keys, edges = shingle_sets(some, NUMBER_BITS)
     starts, counts = edges[:-1, None], np.diff(edges)[:, None]
@@ -102,11 +105,16 @@ def signatures(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after = np.where(after == len(keys), starts, after)  # a circle
     bits = np.packbits((keys[after] & np.uint64(1)).astype(bool), axis=1)
     at = after[:, np.arange(BANDS) * SKETCH // BANDS] - starts
-    total = np.zeros(at.shape, np.uint64)
+    wide = few = np.zeros(at.shape, np.uint64)
     for i in range(ROWS):
         value = keys[starts + (at + i) % counts] & np.uint64((1 << width) - 1)
-        total += np.where(i < counts, _mix(value * _MUL[0] + _MUL[1]), np.uint64(0))
-    return counts[:, 0], _mix(total * _MUL[2]).view(np.int64), bits.view(np.int64)
+        wide = wide + np.where(i < counts, _mix(value * _MUL[0] + _MUL[1]), np.uint64(0))
+        if i + 1 == FEW:
+            few = wide
+    small = counts[:, 0] <= SMALL
+    bands = np.concatenate([_mix(wide * _MUL[2]), _mix(few * _MUL[3])], axis=1).view(np.int64)
+    there = np.repeat(np.column_stack([np.ones(len(some), bool), small]), BANDS, axis=1)
+    return counts[:, 0], bits.view(np.int64), bands[there], np.where(small, 2 * BANDS, BANDS)
 
 
 def _groups(items: list, sizes: list[int], most: int) -> Iterator[list]:
@@ -169,11 +177,11 @@ def signed(docs: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         for keys, some in _different(batches):
             for group in _groups(list(zip(keys, some, strict=True)), list(map(len, some)), 1 << NUMBER_BITS):
-                n, bands, bits = signatures([x for _, x in group])
-                ends = pa.array(np.arange(len(group) + 1, dtype=np.int32) * BANDS)
+                n, bits, bands, held = signatures([x for _, x in group])
+                ends = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
                 cols = [pa.array([k for k, _ in group], pa.int64()), pa.array(np.full(len(group), part, np.int32)), pa.array(n)]
                 cols += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(words))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], ["key", "part", "n", *words, "bands"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(bands))], ["key", "part", "n", *words, "bands"])
 
     return docs.select("text").mapInArrow(sign, "key long, part int, n long, " + "".join(f"{w} long, " for w in words) + "bands array<long>")
 
@@ -211,7 +219,7 @@ def _alike(similarity: float) -> Column:
     """Whether sizes and sketches of a pair allow its similarity, by five standard deviations of a sketch."""
     apart = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(SKETCH // 64)), F.lit(0))
     agree = (1 + similarity) / 2  # a bit agrees by chance as well
-    drawn = F.least(F.lit(SKETCH), "na", "nb")  # a small set has fewer hashes than marks
+    drawn = F.least(F.lit(float(SKETCH)), 0.6 * F.col("na"), 0.6 * F.col("nb"))  # a small set has fewer hashes than marks, of uneven weight
     enough = apart <= SKETCH * (1 - agree + 5 * F.sqrt(agree * (1 - agree) / drawn))
     return (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & enough
 
