@@ -240,3 +240,28 @@ def test_as_of(spark):
     df = spark.createDataFrame([(0, 1, 100.0), (0, 4, 110.0), (0, 6, 121.0), (0, 30, 1.0)], "k int, t long, p double")
     got = joins.backward_return_bps(df, ["k"], "t", "p", 2, 1).orderBy("t").collect()
     assert [r["back_bps"] for r in got] == pytest.approx([None, 1000.0, 1000.0, None])
+
+
+def test_assembly_helpers(spark):
+    from tickloom.operators import assemble
+
+    families = {"ret": ("ret_fwd_{horizon}_{asset}", ("1s", "60s")), "mfe": ("mfe_fwd_{horizon}_bps_{asset}", ("60s",))}
+    assert assemble.target_column("mfe_60s", "a0", families) == "mfe_fwd_60s_bps_a0" and assemble.target_column("1s", "a0", families) == "ret_fwd_1s_a0"
+    for bad in ("mfe_1s", "x_60s", "5s"):
+        with pytest.raises(ValueError):
+            assemble.target_column(bad, "a0", families)
+    assert [assemble.resolve_k(k, n) for k, n in ((8, 10_000), (8, 500), (8, 10))] == [8, 5, 2]
+    d = spark.createDataFrame([("x", 1, None, 5), ("x", 2, 3, None), ("y", 1, None, None)], "k string, at int, a int, b int")
+    assert sorted((r["k"], r["a"], r["b"]) for r in assemble.collapse(d, ["k"], F.col("at")).collect()) == [("x", 3, 5), ("y", None, None)]
+    names = spark.createDataFrame([("logratio_2bps_5bps_fut_60s",)], "feature string")
+    assert assemble.axes(names).first()[1:] == ("logratio", "2bps|5bps", "60s", "fut")
+    first = assemble.merge_drops({"a": names, "b": names})
+    assert first.collect() == assemble.merge_drops({"a": first.select("feature"), "b": names}).collect()
+
+
+def test_correlation_without_variance(spark):
+    from tickloom.functions.num import correlation
+
+    d = spark.createDataFrame([(1.0, 2.0, 1.0), (1.0, 3.0, 2.0), (1.0, None, 9.0)], "a double, b double, c double")
+    assert d.select(correlation(F.col("a"), F.col("b")).alias("r")).first()["r"] is None
+    assert abs(d.select(correlation(F.col("b"), F.col("c")).alias("r")).first()["r"] - 1) < 1e-12

@@ -343,7 +343,27 @@ def _s5(s: Sql):
     yield "persist", "derived.signal_persist", ("signed",), w, s.clip(f"abs({s.roll('avg', sd)}) / ({s.roll('avg', f'abs({sd})')} + 1e-9)", 0, 1)
 
 
-SETS = {"s1_values": ("S1", _s1), "s1_rolling": ("S1", _s1_rolling), "s2_dynamics": ("S2", _s2), "s3_markets": ("S3", _s3), "s4_meta": ("S4", _s4), "s5_signals": ("S5", _s5)}
+def _s2_shared(s: Sql):
+    """Operators of S2 that other stages have as well, and the bands' coherence."""
+    w = {"window_s": W}
+    f = s.frame(-(W - 1))
+    yield "basis_vwap", "derived.basis_vwap", ("px", "lo"), {}, "px - lo"
+    yield "queue_div", "deriv.queue_pressure_log_div", ("b1", "b5"), {}, "b1 - b5"
+    yield "taker", "trades.taker_imbalance_bucket", ("buy",), w, s.roll("avg", "buy")
+    yield "basis_mid", "deriv.basis_mid", ("gap", "lo"), w, f"avg(gap - lo) OVER {f}"
+    yield "activity", "deriv.spot_fut_taker_activity_share_1s", ("spot", "b1", "fut", "b2"), {}, s.eps("spot + b1", "spot + b1 + fut + b2")
+    yield "imbalance", "l2.queue_imbalance_1s", ("b1", "b5"), {}, s.eps("b1 - b5", "b1 + b5")
+    yield "queue_log", "l2.queue_pressure_log_1s", ("b1", "b5"), {}, "ln((b1 + 1e-12) / (b5 + 1e-12))"
+    for side in ("ask", "bid"):
+        yield f"absorb_{side}", f"l2.absorb_refill_{side}", ("b1", "b2"), {}, "b1 * b2"
+        yield f"absorp_{side}", f"l2.aggr_absorp_ratio_{side}", ("b5", "b1"), {}, s.clip(s.div("b5", "b1"), 0, 1e6)
+    corr = [s.hold(f"CASE WHEN count({a}) OVER {f} >= 3 AND stddev_pop({a}) OVER {f} >= 1e-12 AND stddev_pop({b}) OVER {f} >= 1e-12 THEN corr({a}, {b}) OVER {f} END") for a, b in (("b1", "b2"), ("b1", "b5"), ("b2", "b5"))]
+    total = " + ".join(f"coalesce({r}, 0)" for r in corr)
+    n = " + ".join(f"({r} IS NOT NULL)::INT" for r in corr)
+    yield "coherence", "derived.depth_coherence", ("b1", "b2", "b5"), w, f"CASE WHEN row_number() OVER {s.A} >= {W} AND {n} > 0 THEN ({total}) / ({n}) END"
+
+
+SETS = {"s1_values": ("S1", _s1), "s1_rolling": ("S1", _s1_rolling), "s2_dynamics": ("S2", _s2), "s2_shared": ("S2", _s2_shared), "s3_markets": ("S3", _s3), "s4_meta": ("S4", _s4), "s5_signals": ("S5", _s5)}
 
 
 def feature_list(name: str) -> list[Feature]:

@@ -16,6 +16,14 @@ def no_nan(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in kinds else F.col(c) for c in df.columns))
 
 
+def correlation(x: Column, y: Column, frame=None) -> Column:
+    """Pearson's r over the rows where both are there, NULL without variance (``corr`` divides by zero there)."""
+    at = (lambda a: a) if frame is None else (lambda a: a.over(frame))
+    both = x.isNotNull() & y.isNotNull()
+    u, v = F.when(both, x), F.when(both, y)
+    return F.try_divide(at(F.covar_pop(u, v)), at(F.stddev_pop(u)) * at(F.stddev_pop(v)))
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     """greatest() and least() skip NULL, so that it has to be kept apart."""
     return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))

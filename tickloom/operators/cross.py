@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.num import clip
+from ..functions.num import clip, correlation
 from ..plans.spec import register
 from . import common as c
 
@@ -31,7 +31,7 @@ def _lag_corr(t, x, p):
     lead = t.hold(t.lag(x[0], int(p["lag_s"])), 0)
     frame = t.trail(w)
     pairs = F.count(F.when(lead.isNotNull() & x[1].isNotNull(), 1)).over(frame)
-    r = F.corr(lead, x[1]).over(frame)
+    r = correlation(lead, x[1], frame)
     return F.when((pairs >= w) & ~F.isnan(r), r)
 
 

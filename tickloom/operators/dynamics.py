@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.num import EPS, big, clip, flag, over, quiet_ratio
+from ..functions.num import EPS, big, clip, correlation, flag, over, quiet_ratio
 from ..plans.spec import OPERATORS, register
 from . import common as c
 from . import stage1  # noqa: F401  S2 shares some of its operators
@@ -39,7 +39,7 @@ def _absorption(t, x, p):
 def _autocorr(t, x, p):
     w = c.width(p)
     before = t.hold(t.lag(x[0]), 0)
-    r = F.corr(x[0], before).over(t.rows(-(w - 2), 0))
+    r = correlation(x[0], before, t.rows(-(w - 2), 0))
     return F.when((F.count(x[0]).over(t.trail(w)) >= max(10, w // 2)) & ~F.isnan(r), r)
 
 
@@ -99,7 +99,7 @@ def _coherence(t, x, p):
     for a, b in combinations(x, 2):
         both = a.isNotNull() & b.isNotNull()
         u, v = F.when(both, a), F.when(both, b)
-        r = F.corr(u, v).over(frame)
+        r = correlation(u, v, frame)
         told = (F.count(u).over(frame) >= 3) & (F.stddev_pop(u).over(frame) >= EPS) & (F.stddev_pop(v).over(frame) >= EPS)
         r = t.hold(F.when(told & ~F.isnan(r), r), 0)
         total, n = total + F.coalesce(r, F.lit(0.0)), n + r.isNotNull().cast("int")

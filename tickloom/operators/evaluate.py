@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.num import correlation
+
 
 def folds(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """Expanding windows: n // (k + 1) rows make a block; fold i trains on blocks 0..i and tests on i + 1.
@@ -56,7 +58,7 @@ def fold_metrics(pred: DataFrame, keys: list[str], y: str = "y_true", p: str = "
         F.avg(F.abs(e)).alias("mae"),
         F.var_pop(y).alias("_v"),
         F.avg(hit).alias("da"),
-        F.corr("_ry", "_rp").alias("ic"),
+        correlation(F.col("_ry"), F.col("_rp")).alias("ic"),
         side(1, 1).alias("_tp"),
         side(-1, -1).alias("_tn"),
         side(-1, 1).alias("_fp"),

@@ -72,7 +72,7 @@ def signature(df: DataFrame, group: str, columns: list[str], top: int = 50) -> D
     by = df.groupBy(group).agg(*(F.avg(c).alias(f"_{c}") for c in columns))
     made = [F.struct(F.lit(c).alias("feature"), F.when(F.col(f"{c}.s") > 1e-12, (F.col(f"_{c}") - F.col(f"{c}.m")) / F.col(f"{c}.s")).alias("z")) for c in columns]
     d = by.crossJoin(F.broadcast(whole)).select(group, F.explode(F.array(*made)).alias("r")).select(group, "r.*")  # whole is one row
-    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(F.abs("z")), "feature")
+    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(F.round(F.abs("z"), 9)), "feature")  # equal but for float noise: by name
     return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 

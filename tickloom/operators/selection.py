@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.num import correlation
+
 
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], least: int = 30) -> DataFrame:
     """Pearson per pair over the rows where both are there: one aggregation for all pairs.
@@ -20,7 +22,7 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], least: int =
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
         n = F.count(x)
-        r = F.corr(x, y)
+        r = correlation(x, y)
         told = (n >= least) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
         made.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), F.when(told & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("rho")))
     return df.agg(F.array(*made).alias("p")).select(F.explode("p").alias("p")).select("p.*")

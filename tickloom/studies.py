@@ -216,7 +216,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(exits.signature(bars(spark, sf_dir), "asset", COLUMNS, 3), "asset", "feature", "place")
 
 
-SIGNATURES_SQL = f"WITH {BARS_SQL}, z AS (" + " UNION ALL ".join(f"SELECT asset, '{c}' AS feature, (avg({c}) - (SELECT avg({c}) FROM bars)) / (SELECT stddev_pop({c}) FROM bars) AS z FROM bars GROUP BY asset" for c in COLUMNS) + ") SELECT asset, feature, round(z, 6) AS z, CAST(row_number() OVER (PARTITION BY asset ORDER BY abs(z) DESC, feature) AS INT) AS place FROM z QUALIFY place <= 3"
+SIGNATURES_SQL = f"WITH {BARS_SQL}, z AS (" + " UNION ALL ".join(f"SELECT asset, '{c}' AS feature, (avg({c}) - (SELECT avg({c}) FROM bars)) / (SELECT stddev_pop({c}) FROM bars) AS z FROM bars GROUP BY asset" for c in COLUMNS) + ") SELECT asset, feature, round(z, 6) AS z, CAST(row_number() OVER (PARTITION BY asset ORDER BY round(abs(z), 9) DESC, feature) AS INT) AS place FROM z QUALIFY place <= 3"
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
