@@ -49,7 +49,7 @@ BROADCAST = 500_000
 #: A class of more than HOT lines is hot: its first line reaches the others by broadcast.
 HOT = 2048
 #: Characters that are hashed at a time, and lines: their number takes the first bits of a sorted hash.
-SLICE, NUMBER_BITS, PAIR_BITS = 1 << 20, 18, 10
+SLICE, NUMBER_BITS, PAIR_BITS = 1 << 18, 12, 10
 _WORD = r"[^\x20\x09-\x0D]"
 _SPACE = " \t\n\x0b\x0c\r"
 _MUL = np.random.default_rng(4).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,7 +152,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Keys and lines of a task's texts, each line once in about 250,000 different ones."""
+    """Keys and lines of a task's texts, each line once in about 100,000 different ones."""
     seen: set[int] = set()
     for batch in cuts(batches, 250):
         keys, some = [], []
@@ -165,7 +165,7 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
                     some.append(line)
         if keys:
             yield keys, some
-        if len(seen) > 250_000:
+        if len(seen) > 100_000:
             seen.clear()
 
 

@@ -36,7 +36,7 @@ from .shared import cuts, ship
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 UNIGRAM, BPE = 1, 2
-_CACHED, _SHORT = 200_000, 40
+_CACHED, _SHORT = 100_000, 40
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -142,7 +142,7 @@ class Transducer:
     def _pair(self, a: str, b: str) -> bool:
         ok = self.allowed.get((a, b))
         if ok is None:
-            if len(self.allowed) >= 2 * _CACHED:
+            if len(self.allowed) >= _CACHED:
                 self.allowed.clear()
             ok = self.allowed[a, b] = self.merge(a + b) == [a, b] if a else self.merge(b) == [b]
         return ok
