@@ -319,11 +319,11 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     placed = placed.unionByName(_meet(repeated.join(F.broadcast(hot), "root", "left_anti"), first, "root", "inner", 4 * n_many))
     lost = placed.where(~F.struct("doc_id", "tid", "line_no").eqNullSafe(F.col("first"))).groupBy("doc_id", "tid").agg(F.collect_set("line_no").alias("gone"))
     lost, _ = written(lost, "lost")
-    n_lost = lost.agg(F.sum(F.size("gone") + 2)).first()[0] or 0
     drop(spark, roots_path, own_path, counts_path, hot_path, repeated_path, first_path)
     lost = lost.toDF(lost_id, lost_tid, gone)
     rows = docs.withColumn(tid, F.xxhash64("text"))
-    rows = _meet(rows, lost, F.col("doc_id").eqNullSafe(F.col(lost_id)) & F.col(tid).eqNullSafe(F.col(lost_tid)), "left", n_lost)
+    # Lists have no bound by rows: whether they are broadcast is left to Spark's threshold.
+    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col(lost_id)) & F.col(tid).eqNullSafe(F.col(lost_tid)), "left")
     rows = rows.withColumn(split, F.split("text", "\n"))
     s, g = F.col(split), F.coalesce(F.col(gone), F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(s) - 1), g)
