@@ -17,8 +17,8 @@ DataFrame functions.
 A band's lines meet one of them, its leader, which settles groups of near copies
 with one link for each line. Bands that a sample of lines shows to be large are
 split by salts: lines meet their salt's leader, salt leaders meet the band's.
-Bands whose lines are then still in several classes are compared whole: every
-line outside the band's largest class meets all lines of other classes, in blocks.
+Bands whose lines are then still in several classes are compared whole, in blocks
+within tasks, so that pairs are neither joined nor emitted (see _whole).
 """
 
 from __future__ import annotations
@@ -228,34 +228,133 @@ def _meet(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFram
     return big.join(F.broadcast(small) if rows <= BROADCAST else small, on, how)
 
 
-def _near(pairs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
-    """The pairs (a, b) of a written table whose lines are similar by their texts, and the path."""
-    spark = docs.sparkSession
+def _texts(keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
+    """(key, l): the lines of a table of keys, and the path."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, some in _different(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(some, pa.string())], ["key", "line"])
+        for found, some in _different(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(some, pa.string())], ["key", "line"])
+
+    wanted, wanted_path = written(keys.distinct(), "wanted")
+    found = _meet(docs.select("text").mapInArrow(each, "key long, line string"), wanted, "key", "left_semi", wanted.count())
+    texts, texts_path = written(found.groupBy("key").agg(F.first("line").alias("l")), "texts")
+    drop(docs.sparkSession, wanted_path)
+    return texts, texts_path
+
+
+def _similar(both: list[tuple[str, str]], similarity: float) -> np.ndarray:
+    """Whether each pair of lines reaches the Jaccard similarity."""
+    ok = [np.zeros(0, bool)]
+    for g in _groups(both, [len(s) + len(t) for s, t in both], 1 << PAIR_BITS):
+        (s, at), (t, bt) = (shingle_sets(list(some), PAIR_BITS) for some in zip(*g, strict=True))
+        same = np.intersect1d(s, t, assume_unique=True) >> np.uint64(64 - PAIR_BITS)
+        common = np.bincount(same.astype(np.int64), minlength=len(g))
+        ok.append(common * (1 + similarity) >= similarity * (np.diff(at) + np.diff(bt)) - 1e-9)
+    return np.concatenate(ok)
+
+
+def _near(pairs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of a written table whose lines are similar by their texts, and the path."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cuts(batches):
             both = list(zip(batch["la"].to_pylist(), batch["lb"].to_pylist(), strict=True))
-            ok = []
-            for g in _groups(both, [len(s) + len(t) for s, t in both], 1 << PAIR_BITS):
-                (s, at), (t, bt) = (shingle_sets(list(some), PAIR_BITS) for some in zip(*g, strict=True))
-                same = np.intersect1d(s, t, assume_unique=True) >> np.uint64(64 - PAIR_BITS)
-                common = np.bincount(same.astype(np.int64), minlength=len(g))
-                ok.append(common * (1 + similarity) >= similarity * (np.diff(at) + np.diff(bt)) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(ok) if ok else [], pa.bool_()))
-
-    wanted, wanted_path = written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
-    found = _meet(docs.select("text").mapInArrow(each, "key long, line string"), wanted, "key", "left_semi", wanted.count())
-    texts, texts_path = written(found.groupBy("key").agg(F.first("line").alias("l")), "texts")
+            yield batch.select(["a", "b"]).filter(pa.array(_similar(both, similarity)))
+
+    texts, texts_path = _texts(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))), docs)
     sides = pairs.join(_side(texts, "a"), "a").join(_side(texts, "b"), "b")
     near, near_path = written(sides.select("a", "b", "la", "lb").mapInArrow(confirm, "a long, b long"), "near")
-    drop(spark, wanted_path, texts_path)
+    drop(docs.sparkSession, texts_path)
     return near, near_path
 
 
+def _across(rows: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the classes that meet in whole tasks; rows are sorted by task and side."""
+    task, side, root, key, n = (rows[c].to_numpy() for c in ("task", "side", "root", "key", "n"))
+    sketch = np.column_stack([rows[f"s{i}"].to_numpy() for i in range(SKETCH // 64)]).view(np.uint64)
+    some = rows["l"].to_pylist()
+    agree = (1 + similarity) / 2
+    edges = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]]).tolist()
+
+    def settle(left: list, right: list) -> Iterator[pa.RecordBatch]:
+        i, j = np.concatenate(left), np.concatenate(right)
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (root[i] != root[j]) & (small >= similarity * large)
+        i, j, small = i[ok], j[ok], small[ok]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
+        ok = apart <= SKETCH * (1 - agree + 5 * np.sqrt(agree * (1 - agree) / np.minimum(SKETCH, 0.6 * small)))  # as in _alike
+        i, j = i[ok], j[ok]
+        if len(i):
+            pairs = np.column_stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])])
+            once = np.unique(pairs, axis=0, return_index=True)[1]  # lines that share several bands
+            i, j = i[once], j[once]
+            ok = _similar([(some[x], some[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], similarity)
+            found = np.unique(np.column_stack([root[i[ok]], root[j[ok]]]), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    left, right, held = [], [], 0
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        middle = lo + int(np.searchsorted(side[lo:hi], 1))
+        if middle < hi:
+            i, j = np.repeat(np.arange(lo, middle), hi - middle), np.tile(np.arange(middle, hi), middle - lo)
+        else:
+            i, j = (x + lo for x in np.triu_indices(hi - lo, 1))
+        left.append(i)
+        right.append(j)
+        held += len(i)
+        if held > SLICE:
+            yield from settle(left, right)
+            left, right, held = [], [], 0
+    if held:
+        yield from settle(left, right)
+
+
+def _whole(placed: DataFrame, sketches: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """Links between the classes (roots) of bands that hold several, from all their pairs of lines, and the path.
+
+    A band is dealt out in blocks of about BLOCK lines, of which every two are a
+    task; a class that fills blocks of its own isn't compared with itself. Pairs
+    live inside a task only, which gives a link for each two classes that it joins.
+    """
+    apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("band")
+    apart, apart_path = written(apart, "apart")
+    rows, rows_path = written(_meet(placed, apart, "band", "left_semi", apart.count()), "rows")
+    large = rows.groupBy("band", "root").count().where(F.col("count") > BLOCK).select("band", "root", F.col("root").alias("own"))
+    large, large_path = written(large, "large")
+    own = _meet(rows, large, ["band", "root"], "left", 2 * large.count())
+    cells = own.groupBy("band", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    cells, cells_path = written(cells, "cells")
+    block = F.xxhash64("band", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "salt").alias("block")
+    blocks = cells.select("band", "own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("band", "own", block)
+    meets = blocks.join(blocks.toDF("band", "own2", "block2"), "band").where("block <= block2 AND (own IS NULL OR own2 IS NULL OR own <> own2)")
+    meets = meets.select("block", "block2", F.xxhash64("block", "block2").alias("task"))
+    sides = meets.select("block", "task", F.lit(0).alias("side")).unionByName(meets.where("block <> block2").select(F.col("block2").alias("block"), "task", F.lit(1).alias("side")))
+    sides, sides_path = written(sides, "sides")
+    of = cells.toDF("of_band", "of_own", "salts")
+    dealt = _meet(own, of, (F.col("band") == F.col("of_band")) & F.col("own").eqNullSafe(F.col("of_own")), "inner", 2 * of.count())
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key", "band"), "salts").cast("int")).select("key", "root", block)
+    dealt = _meet(dealt, sides, "block", "inner", 2 * sides.count()).drop("block")
+    texts, texts_path = _texts(rows.select("key"), docs)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            ends = np.flatnonzero(np.diff(now["task"].to_numpy()))
+            last = int(ends[-1]) + 1 if len(ends) else 0  # the last task may go on in the next batch
+            if last:
+                yield from _across(now.slice(0, last).combine_chunks(), similarity)
+            rest = now.slice(last)
+        if rest is not None and rest.num_rows:
+            yield from _across(rest.combine_chunks(), similarity)
+
+    ready = dealt.join(texts.join(sketches, "key"), "key").repartition("task").sortWithinPartitions("task", "side")
+    links, links_path = written(ready.mapInArrow(meet, "a long, b long").distinct(), "links")
+    drop(docs.sparkSession, apart_path, rows_path, large_path, cells_path, sides_path, texts_path)
+    return links, links_path
+
+
 def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(node, root) of the line keys that have a similar line."""
     spark = docs.sparkSession
@@ -264,25 +363,12 @@ def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     alike, alike_path = written(alike, "alike")
     near, near_path = _near(alike, docs, similarity)
     roots, roots_path = components(near)
+    drop(spark, alike_path, near_path)
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
     placed, placed_path = written(placed.select("band", "key", F.coalesce("root", "key").alias("root")), "placed")
-    apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("band")
-    apart, apart_path = written(apart, "apart")
-    rows, rows_path = written(_meet(placed, apart, "band", "left_semi", apart.count()), "apart")
-    parts = rows.groupBy("band", "root").count()
-    main = parts.groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), (F.sum("count") - F.max("count")).alias("m"))
-    main, main_path = written(main.select("band", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts")), "apart")
-    rows = _meet(rows, main, "band", "inner", 2 * main.count())
-    p = rows.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    q = rows.where("root <> main").select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.pmod(F.xxhash64("key", "band"), "salts").cast("int").alias("salt"))
-    p, q = p.join(_side(sketches, "a"), "a"), q.join(_side(sketches, "b"), "b")
-    rest = p.join(q, ["band", "salt"]).where((F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike(similarity))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(alike, ["a", "b"], "left_anti")
-    rest, rest_path = written(rest, "rest")
-    drop(spark, *paths, placed_path, apart_path, rows_path, main_path)
-    more, more_path = _near(rest, docs, similarity)
+    more, more_path = _whole(placed, sketches, docs, similarity)
     out = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(spark, alike_path, near_path, roots_path, rest_path, more_path)
+    drop(spark, *paths, placed_path, roots_path, more_path)
     return out
 
 
