@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickloom import operators  # noqa: F401
 from tickloom.functions.num import no_nan
 from tickloom.operators import book, context, evaluate, levels, selection
-from tickloom.plans.spec import OPERATORS, Feature, SpecError, closure, compute, validate
+from tickloom.plans.spec import OPERATORS, Chunks, Feature, SpecError, closure, compute, validate
 from tickloom.plans.spec import levels as depth
 
 
@@ -265,3 +265,31 @@ def test_correlation_without_variance(spark):
     d = spark.createDataFrame([(1.0, 2.0, 1.0), (1.0, 3.0, 2.0), (1.0, None, 9.0)], "a double, b double, c double")
     assert d.select(correlation(F.col("a"), F.col("b")).alias("r")).first()["r"] is None
     assert abs(d.select(correlation(F.col("b"), F.col("c")).alias("r")).first()["r"] - 1) < 1e-12
+
+
+def test_chunks_equal_the_whole_series(spark):
+    """Windows back and ahead, nested medians, lags; keys and parts that are NULL; one key over several tasks."""
+    rows = [(k, i, None if (i * 7) % 11 == 0 else float((i * 37) % 101)) for k in ("a", None) for i in range(300)]
+    df = spark.createDataFrame([*rows, ("b", None, 1.0)], "k string, t int, x double")
+    features = [
+        Feature("mean", "S1", "derived.roll_mean", ("x",), {"window_s": 7}),
+        Feature("z", "S2", "derived.robust_zscore", ("x",), {"window_s": 9, "min_periods": 3}),
+        Feature("z2", "S2", "derived.robust_zscore", ("z",), {"window_s": 5, "min_periods": 2}),
+        Feature("ahead", "S1", "derived.rv_fwd", ("t1",), {"window_s": 4}),
+        Feature("back", "S1", "derived.poc_migration_bps", ("t1",), {"shift_s": 6}),
+        Feature("t1", "S1", "derived.add", ("x", "x")),
+    ]
+    whole = compute(df, features, ["k"], ["t"])
+    cut = compute(df, features, ["k"], ["t"], chunks=Chunks(F.floor(F.col("t") / 50), 25))
+    assert cut.columns == whole.columns
+    key = lambda r: (str(r.k), -1 if r.t is None else r.t)
+    assert sorted(cut.collect(), key=key) == sorted(whole.collect(), key=key)
+    conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = lambda d: len(d.where("k = 'a'").groupBy(F.spark_partition_id()).agg(F.sum("z2")).collect())
+        assert tasks(whole) == 1 and tasks(cut) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", conf)
+    with pytest.raises(SpecError):
+        compute(df, [Feature("e", "S1", "derived.ema", ("x",), {"span_s": 5})], ["k"], ["t"], chunks=Chunks(F.col("t"), 25))

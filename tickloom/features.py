@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.num import no_nan
 from .operators.buckets import trade_bars
-from .plans.spec import Feature, compute
+from .plans.spec import Chunks, Feature, compute
 from .sources import tables
 
 W = 20
@@ -375,10 +375,13 @@ def feature_list(name: str) -> list[Feature]:
     return out
 
 
-def query(name: str):
+def query(name: str, size: int = 0):
+    """The set's columns; with ``size``, series are cut into chunks of so many rows."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         features = feature_list(name)
-        df = compute(bars(spark, sf_dir), features, ["asset"], ["bucket"])
+        chunks = Chunks(F.year("bucket"), size) if size else None
+        df = compute(bars(spark, sf_dir), features, ["asset"], ["bucket"], chunks=chunks)
         return df.select("asset", F.col("bucket").cast("string").alias("bucket"), *(F.round(f.name, 6).alias(f.name) for f in features))
 
     return run

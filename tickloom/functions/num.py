@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,7 +70,7 @@ class Tape:
         self.keys, self.order = keys, order
         self.levels: dict[int, dict[str, Column]] = {}
         self.known: dict[str, str] = {}
-        self.base = 0
+        self.reach: dict[str, tuple[int, int] | None] = {}
 
     @property
     def series(self):
@@ -89,11 +90,39 @@ class Tape:
         if text not in self.known:
             self.known[text] = f"_held{len(self.known)}"
             self.levels.setdefault(level, {})[self.known[text]] = x
+            self.reach[self.known[text]] = self.span(x)
         return F.col(self.known[text])
 
+    def span(self, x: Column) -> tuple[int, int] | None:
+        """Rows back and ahead that ``x`` depends on, held columns included; None for the whole series.
+
+        Read from the expression's text: windows aren't nested in one expression,
+        so its own frames add to the longest reach of the columns it holds.
+        """
+        text = str(x)
+        if "UNBOUNDED" in text or "row_number()" in text:
+            return None
+        back = ahead = 0
+        for a, b in re.findall(r"ROWS BETWEEN (-?\d+|CURRENT ROW) AND (-?\d+|CURRENT ROW)", text):
+            back, ahead = (max(back, -int(a)) if a[0] != "C" else back), (max(ahead, int(b)) if b[0] != "C" else ahead)
+        moves = re.findall(r", (\d+), NULL, false\) OVER", text) if "lag(" in text or "lead(" in text else []
+        far = max([0, *map(int, moves)])
+        back, ahead = max(back, far if "lag(" in text else 0), max(ahead, far if "lead(" in text else 0)
+        held = [self.reach[h] for h in set(re.findall(r"\b_held\d+\b", text))]
+        if None in held:
+            return None
+        return back + max([0, *(h[0] for h in held)]), ahead + max([0, *(h[1] for h in held)])
+
     def lag(self, x: Column, n: int = 1) -> Column:
         return F.lag(x, n).over(self.series)
 
+    def lead(self, x: Column, n: int) -> Column:
+        return F.lead(x, n).over(self.series)
+
+    def filled(self, w: int) -> Column:
+        """Whether the series has at least w rows up to here."""
+        return F.count(F.lit(1)).over(self.trail(w)) >= w
+
     def roll(self, fn: Callable[[Column], Column], x: Column, w: int, least: int | None = None) -> Column:
         """fn over the last w rows, NULL with fewer than ``least`` (default w) values."""
         frame = self.trail(w)

@@ -103,7 +103,7 @@ def _coherence(t, x, p):
         told = (F.count(u).over(frame) >= 3) & (F.stddev_pop(u).over(frame) >= EPS) & (F.stddev_pop(v).over(frame) >= EPS)
         r = t.hold(F.when(told & ~F.isnan(r), r), 0)
         total, n = total + F.coalesce(r, F.lit(0.0)), n + r.isNotNull().cast("int")
-    all_there = F.row_number().over(t.series) >= w
+    all_there = t.filled(w)
     for v in x:
         all_there = all_there & (F.count(v).over(frame) > 0)
     return F.when(all_there & (n > 0), total / n)

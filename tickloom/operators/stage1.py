@@ -136,7 +136,7 @@ _op("derived.roll_sum", 1, lambda t, x, p: t.roll(F.sum, x[0], c.width(p)), True
 _op("derived.robust_zscore", 1, c.zscore(100, eps=EPS))
 _op("derived.zscore_diff", 2, lambda t, x, p: c.zscore(100, eps=EPS)(t, [x[0] - x[1]], {**p, "names": ("diff",)}), True)
 _op("derived.log_return", 1, lambda t, x, p: F.ln(F.try_divide(x[0], t.lag(x[0]))))
-_op("derived.ret_fwd", 1, lambda t, x, p: F.ln(F.try_divide(F.lead(x[0], c.width(p)).over(t.series), x[0])), True)
+_op("derived.ret_fwd", 1, lambda t, x, p: F.ln(F.try_divide(t.lead(x[0], c.width(p)), x[0])), True)
 _op("derived.range_pct", 1, _range_pct, True)
 _op("derived.range_pos", 1, _range_pos, True)
 _op("range.dist_to_high_bps", 2, lambda t, x, p: bps(x[1] - x[0], x[0]))
