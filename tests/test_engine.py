@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom import operators  # noqa: F401
 from tickloom.functions.num import no_nan
-from tickloom.operators import book, context, evaluate, levels, selection
+from tickloom.operators import book, context, evaluate, levels, selection, walk
 from tickloom.plans.spec import OPERATORS, Chunks, Feature, SpecError, closure, compute, validate
 from tickloom.plans.spec import levels as depth
 
@@ -293,3 +293,67 @@ def test_chunks_equal_the_whole_series(spark):
         spark.conf.set("spark.sql.adaptive.enabled", conf)
     with pytest.raises(SpecError):
         compute(df, [Feature("e", "S1", "derived.ema", ("x",), {"span_s": 5})], ["k"], ["t"], chunks=Chunks(F.col("t"), 25))
+
+
+def test_ridge_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=200)
+    rows = [(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (200, None, 1.0, 1.0, 0.0), (201, 1.0, 1.0, 1.0, None)], "i int, a double, b double, c double, y_true double")
+    got = walk.cross_validate(df, ["i"], 3, lambda seed: walk.Ridge(["a", "b", "c"], penalty=0.1), seeds=(0, 1)).orderBy("event_index").toPandas()
+    assert set(got.seed) == {0, 1} and got.event_index.min() == 50
+    for fold in (1, 2, 3):
+        tx, ty = x[: 50 * fold], y[: 50 * fold]
+        w = np.linalg.solve((tx - tx.mean(0)).T @ (tx - tx.mean(0)) / len(tx) + 0.1 * np.eye(3), (tx - tx.mean(0)).T @ (ty - ty.mean()) / len(tx))
+        part = got[(got.fold == fold) & (got.seed == 1) & (got.event_index < 200)]
+        want = (x[part.event_index] - tx.mean(0)) @ w + ty.mean()
+        assert np.allclose(part.y_pred, want)
+
+
+def test_boosted_walk_learns_and_stands_nulls(spark):
+    rows = [(i, None if i % 17 == 0 else float(i * 37 % 100), float(i * 53 % 10), float(i * 37 % 100 > 50)) for i in range(240)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, up double")
+    got = walk.cross_validate(df, ["i"], 2, lambda seed: walk.Boosted(["a", "b"], "up", seed, rounds=5), target="up", keep=("a",)).where("a IS NOT NULL").toPandas()
+    assert set(got.fold) == {1, 2} and ((got.y_pred > 0.5) == (got.up == 1)).mean() > 0.95
+
+
+def test_leaving_a_path(spark):
+    df = spark.createDataFrame([([1.0, 5.0, -9.0, 4.0], [0.0, 0.0, 0.9, 0.9]), ([1.0, 5.0, 3.0], [0.0, 0.6, 0.9]), ([1.0, 2.0], [0.0, 0.0]), ([], [])], "p array<double>, s array<double>")
+    got = df.select(walk.leave_at(F.col("p"), F.col("s"), 0.5, F.lit(8.0)).alias("x"), walk.tp_sl_at(F.col("p"), F.lit(5.0), F.lit(1.0)).alias("y")).collect()
+    assert [tuple(r) for r in got] == [(-8.0, 5.0), (5.0, 5.0), (2.0, 2.0), (None, None)]
+    steps = spark.createDataFrame([([10.0, 20.0, 30.0, 29.0, 40.0],), ([1.0, 2.0],)], "p array<double>").select(walk.exit_steps(F.col("p"), F.array_max("p"), 10.0, ahead=1).alias("s")).collect()
+    assert [tuple(x) for x in steps[0].s] == [(3, 30.0, 1), (4, 29.0, 0), (5, 40.0, 1)] and steps[1].s == []
+
+
+def test_stability_over_seeds_and_rolling(spark):
+    df = spark.createDataFrame([(i, float(i * 37 % 100)) for i in range(200)], "i int, x double")
+    make = lambda seed: walk.Bins("x", [0.5] if seed < 2 else [0.3, 0.6])
+    got = {(r.against, r.block, r.seed): r.ari for r in walk.stability(df, ["i"], 2, make, seeds=(0, 1, 2)).collect()}
+    assert len(got) == 11 and got["seed", None, 1] == 1.0 and got["seed", None, 2] < 1 and got["whole", 0, 0] == 1.0
+    rolled = walk.rolling_stability(df, ["i"], 4, 2, make).collect()
+    assert [r.start for r in rolled] == [1, 2] and all(r.ari > 0.8 for r in rolled)
+
+
+def test_vif_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    x[:, 2] += x[:, 0]
+    got = selection.vif(spark.createDataFrame(x.tolist(), "a double, b double, c double"), ["a", "b", "c"])
+    assert np.allclose([got[c] for c in "abc"], np.diag(np.linalg.inv(np.corrcoef(x.T))), rtol=1e-6)
+
+
+def test_bca_against_a_plain_interval(spark):
+    """The interval of a symmetric sample lies near mean +- 1.96 standard errors; of one value there is none."""
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=400)
+    df = spark.createDataFrame([("a", float(t)) for t in v] + [("b", 1.0)], "k string, x double")
+    got = {r.k: r for r in evaluate.bca(df, ["k"], "x", rounds=2000).collect()}
+    se = v.std() / 20
+    assert abs(got["a"].lo - (v.mean() - 1.96 * se)) < 0.2 * se and abs(got["a"].hi - (v.mean() + 1.96 * se)) < 0.2 * se
+    assert got["b"].n == 1 and (got["b"].lo is None or math.isnan(got["b"].lo))

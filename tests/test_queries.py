@@ -32,7 +32,7 @@ def test_against_sql(spark, name):
     rel = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     cols = sorted(df.columns)
-    key = lambda row: [(v is None, isinstance(v, (int, float)), round(v, 3) if isinstance(v, float) else v) if v is not None else (True, False, 0) for v in row]
+    key = lambda row: [(v is None, isinstance(v, (int, float)), round(v, 3) + 0.0 if isinstance(v, float) else v) if v is not None else (True, False, 0) for v in row]
     text = lambda rows: sorted(rows, key=lambda r: str(key(r)))
     got = text([tuple(r[c] for c in cols) for r in df.collect()])
     want = text(con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})").fetchall())
