@@ -357,3 +357,13 @@ def test_bca_against_a_plain_interval(spark):
     se = v.std() / 20
     assert abs(got["a"].lo - (v.mean() - 1.96 * se)) < 0.2 * se and abs(got["a"].hi - (v.mean() + 1.96 * se)) < 0.2 * se
     assert got["b"].n == 1 and (got["b"].lo is None or math.isnan(got["b"].lo))
+
+
+def test_directions_without_predictions_and_shortlist(spark):
+    events = spark.createDataFrame([(i, i % 2, 1.0) for i in range(10)], "event_index long, cluster int, direction double")
+    none = spark.createDataFrame([], "event_index long, y_true double, y_pred double")
+    assert walk.compare_directions(events, none).count() == 0
+    some = spark.createDataFrame([(8, 1.0, None), (9, -1.0, -2.0), (1, 1.0, 1.0)], "event_index long, y_true double, y_pred double")
+    assert [tuple(r) for r in walk.compare_directions(events, some).collect()] == [(None, 2, 0.5, 0.5, 0.0)]
+    rows = spark.createDataFrame([(1.0, 0.6, 100), (0.9, 0.6, 100), (1.0, 0.55, 100), (1.0, 0.6, 99), (None, 0.6, 100)], "r double, da double, n int")
+    assert walk.shortlist(rows, "r", "da", "n").count() == 1

@@ -146,6 +146,33 @@ def rolling_stability(df: DataFrame, order: list[str], blocks: int, width: int,
     return reduce(DataFrame.unionByName, out)
 
 
+def compare_directions(events: DataFrame, predictions: DataFrame, cluster: str = "cluster", direction: str = "direction", share: float = 0.6, least: int = 30) -> DataFrame:
+    """A model's directional accuracy against the majority of each event's cluster, over the same events.
+
+    A cluster's majority is that of the first ``share`` of the events by event_index
+    (up on a tie); only later events count, and of them those with a prediction and a
+    move. One row for all (cluster NULL) and one per cluster of ``least`` events.
+    ``event_index`` must be unique on both sides.
+    """
+    ranked = global_rank(events.withColumn("_part", F.floor(F.col("event_index") / (1 << 16))), ["_part", "event_index"])
+    cut = int(ranked.count() * share)
+    way = ranked.where(F.col("rank") < cut).groupBy(cluster).agg(F.when(F.avg(direction) < 0, -1.0).otherwise(1.0).alias("_way"))
+    later = ranked.where(F.col("rank") >= cut).select("event_index", cluster)
+    d = later.join(way, cluster).join(predictions.select("event_index", "y_true", "y_pred"), "event_index").where("y_true <> 0")
+    real = F.signum("y_true")
+    d = d.withColumns({"_model": F.coalesce((F.signum("y_pred") == real).cast("double"), F.lit(0.0)), "_cluster": (F.col("_way") == real).cast("double")})
+    by = d.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum("_model").alias("a"), F.sum("_cluster").alias("b"))
+    kind = dict(by.dtypes)[cluster]
+    whole = by.agg(F.lit(None).cast(kind).alias(cluster), F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).where("n > 0")
+    both = whole.unionByName(by.where(F.col("n") >= least))
+    return both.select(cluster, "n", (F.col("a") / F.col("n")).alias("model_da"), (F.col("b") / F.col("n")).alias("cluster_da"), ((F.col("b") - F.col("a")) / F.col("n")).alias("gain"))
+
+
+def shortlist(results: DataFrame, ratio: str, accuracy: str, n: str) -> DataFrame:
+    """Candidates worth a second look: ratio at least 1, accuracy over 0.55, at least 100 events. NULL isn't."""
+    return results.where((F.col(ratio) >= 1) & (F.col(accuracy) > 0.55) & (F.col(n) >= 100))
+
+
 def exit_steps(path: Column, mfe: Column, cost: float, least: float = 5.0, share: float = 0.6, hold: int = 3, ahead: int = 10) -> Column:
     """Steps a trade might have been left at, as (k, value, label); none where the best value doesn't pay.
 

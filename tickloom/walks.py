@@ -7,28 +7,53 @@ from pyspark.sql import functions as F
 
 from .features import BARS_SQL, bars
 from .operators import walk
+from .operators.evaluate import global_rank
 from .studies import _EVENTS_SQL, _PRED_SQL, _events, _predictions, _r
 
 K, PENALTY = 4, 1000.0
 
 
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _predictions(spark, sf_dir).withColumnRenamed("y_pred", "move").where("y_true IS NOT NULL")
+    return p.join(bars(spark, sf_dir).select("asset", "bucket", "gap", "volume"), ["asset", "bucket"])
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.cross_validate(_moves(spark, sf_dir), ["bucket", "asset"], K, lambda seed: walk.Ridge(["move", "gap"], penalty=PENALTY))
+
+
 def out_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on yesterday's move and a price with holes, each fold's predictions of the block that follows."""
-    p = _predictions(spark, sf_dir).join(bars(spark, sf_dir).select("asset", "bucket", "gap"), ["asset", "bucket"])
-    got = walk.cross_validate(p.withColumnRenamed("y_pred", "move"), ["bucket", "asset"], K, lambda seed: walk.Ridge(["move", "gap"], penalty=PENALTY))
-    return _r(got, "event_index", "fold", "seed", digits=4)
+    return _r(_walked(spark, sf_dir), "event_index", "fold", "seed", digits=4)
 
 
-OUT_OF_SAMPLE_SQL = f"""
-WITH {_PRED_SQL}, d AS (SELECT asset, bucket, y_true AS y, y_pred AS a, gap AS b FROM pred JOIN bars USING (asset, bucket) WHERE y_true IS NOT NULL),
+_WALKED_SQL = f"""
+WITH {_PRED_SQL}, d AS (SELECT asset, bucket, y_true AS y, y_pred AS a, gap AS b, volume FROM pred JOIN bars USING (asset, bucket) WHERE y_true IS NOT NULL),
 n AS (SELECT *, row_number() OVER (ORDER BY bucket, asset) - 1 AS i, (SELECT count(*) FROM d) // {K + 1} AS size FROM d), f AS (SELECT *, i // size AS block FROM n WHERE i // size <= {K}),
 k AS (SELECT unnest(range(1, {K + 1})) AS fold),
 m AS (SELECT fold, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM f JOIN k ON block < fold GROUP BY fold),
 dv AS (SELECT fold, y - my AS y, coalesce(a - ma, 0) AS a, coalesce(b - mb, 0) AS b FROM f JOIN m ON block < fold),
 c AS (SELECT fold, avg(a * a) + {PENALTY} AS aa, avg(a * b) AS ab, avg(b * b) + {PENALTY} AS bb, avg(a * y) AS ay, avg(b * y) AS sy FROM dv GROUP BY fold),
-w AS (SELECT fold, (bb * ay - ab * sy) / (aa * bb - ab * ab) AS wa, (aa * sy - ab * ay) / (aa * bb - ab * ab) AS wb FROM c)
-SELECT i AS event_index, CAST(fold AS INT) AS fold, 0 AS seed, round(y, 4) AS y_true, round(my + wa * coalesce(a - ma, 0) + wb * coalesce(b - mb, 0), 4) AS y_pred
-FROM f JOIN m ON block = fold JOIN w USING (fold)
+w AS (SELECT fold, (bb * ay - ab * sy) / (aa * bb - ab * ab) AS wa, (aa * sy - ab * ay) / (aa * bb - ab * ab) AS wb FROM c)"""
+_GUESS = "my + wa * coalesce(a - ma, 0) + wb * coalesce(b - mb, 0)"
+OUT_OF_SAMPLE_SQL = f"""{_WALKED_SQL}
+SELECT i AS event_index, CAST(fold AS INT) AS fold, 0 AS seed, round(y, 4) AS y_true, round({_GUESS}, 4) AS y_pred FROM f JOIN m ON block = fold JOIN w USING (fold)
+"""
+
+
+def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge's predictions against clusters by volume."""
+    events = global_rank(_moves(spark, sf_dir), ["bucket", "asset"]).withColumnRenamed("rank", "event_index")
+    events = events.select("event_index", F.floor(F.col("volume") / 100).cast("long").alias("cluster"), F.signum("y_true").alias("direction"))
+    return _r(walk.compare_directions(events, _walked(spark, sf_dir)), "cluster", "n")
+
+
+_SHARES = "round(avg((b = r)::INT), 6) AS model_da, round(avg((mj = r)::INT), 6) AS cluster_da, round(avg((mj = r)::INT) - avg((b = r)::INT), 6) AS gain"
+DIRECTIONS_SQL = f"""{_WALKED_SQL},
+ev AS (SELECT i, CAST(floor(volume / 100) AS BIGINT) AS cluster, sign(y) AS way, i < floor((SELECT count(*) FROM d) * CAST(0.6 AS DOUBLE)) AS tr FROM n),
+mv AS (SELECT cluster, CASE WHEN avg(way) < 0 THEN -1 ELSE 1 END AS mj FROM ev WHERE tr GROUP BY cluster), os AS (SELECT i, y, {_GUESS} AS p FROM f JOIN m ON block = fold JOIN w USING (fold)),
+j AS (SELECT cluster, sign(y) AS r, sign(p) AS b, mj FROM ev JOIN mv USING (cluster) JOIN os USING (i) WHERE NOT tr AND y <> 0)
+SELECT CAST(NULL AS BIGINT) AS cluster, count(*) AS n, {_SHARES} FROM j HAVING count(*) > 0 UNION ALL SELECT cluster, count(*), {_SHARES} FROM j GROUP BY cluster HAVING count(*) >= 30
 """
 
 
@@ -85,6 +110,7 @@ SELECT CAST(entry AS DOUBLE) AS entry, exit, cost, CAST(sum(n) AS BIGINT) AS n,
 """
 QUERIES = {
     "eval_out_of_sample": (out_of_sample, OUT_OF_SAMPLE_SQL),
+    "eval_directions": (directions, DIRECTIONS_SQL),
     "eval_stability": (stable, STABLE_SQL),
     "eval_tradability": (tradable, TRADABLE_SQL),
 }
