@@ -211,6 +211,8 @@ def tradability(events: DataFrame, path: str, block: str, cell: str, step_cell:
     ``cell`` (the entry model), medians and 75 % quantiles of best and worst values
     (take profit, stop loss), and the share of good steps per ``step_cell`` (the exit
     model, with the 75 % stop behind it). Means are over folds, n is summed.
+    ``step_cell`` must give a bounded number of cells, since a fold's cells travel as
+    one map. Quantiles are exact: they hold a fold's different values in one task.
     """
     p = F.col(path)
     e = events.where((F.size(p) > 0) & (F.col(block) <= folds)).withColumn(block, F.col(block).cast("int"))
