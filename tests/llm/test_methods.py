@@ -218,6 +218,24 @@ def test_lines_on_crowded_bands(spark):
     assert len(missed) <= 1
 
 
+def test_lines_without_python(spark, monkeypatch):
+    """DataFrame functions only, with links between lines of code points beyond 16 bits and between long lines."""
+    from pyspark.sql import DataFrame, GroupedData
+
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for kind, name in ((DataFrame, "mapInArrow"), (DataFrame, "mapInPandas"), (GroupedData, "applyInArrow"), (GroupedData, "applyInPandas")):
+        monkeypatch.setattr(kind, name, refuse)
+    rng = random.Random(12)
+    faces = "".join(chr(0x1F600 + rng.randrange(60)) for _ in range(80))
+    long = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(150))
+    texts = [faces, faces[:40] + "!" + faces[41:], long, long[:500] + "#" + long[501:], "abcdefgh", "abcd"]
+    out = lines.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
+    assert [r["n_removed"] for r in out.orderBy("doc_id").collect()] == [0, 1, 0, 1, 0, 0]
+
+
 # -- 6 ----------------------------------------------------------------------
 @tables
 def test_language_held_out(spark):

@@ -1,45 +1,41 @@
-"""Operator 4: fuzzy line deduplication.
-
-Signatures: all character shingles of ``SHINGLE`` characters of a line, whatever
-its length, are hashed once (a shorter line is one shingle) and sorted. Banding:
-``BANDS`` marks stand on the circle of hashes; the ROWS different hashes that
-follow a mark are a band. They are the least of a random order, as minhash
-values are, so that two lines agree in a band with the power ROWS of their sets'
-Jaccard similarity. Lines that agree in one are candidates; those that sizes or a sketch
-of SKETCH bits rule out go. Verification: exact Jaccard similarity of the sets of
-shingles (by 54-bit hashes). Union-find over
-the confirmed links (see components) makes classes, of which the first line stays.
-
-Hashing and comparing run over Arrow batches: with array functions the hashes of
-all shingles alone take most of the time allowed (see the README). All else is
-DataFrame functions.
+"""Operator 4: fuzzy line deduplication, in DataFrame functions only.
+
+Similarity: the Jaccard similarity of two lines' sets of shingles of ``SHINGLE``
+characters (a shorter line is one shingle). Signatures: shingles are hashed and
+sorted. A line that has THIN different shingles that begin with a character of
+_SOME, about every fourth, is signed by these (layer 1): they depend on nothing
+but the shingles themselves, so that similar lines choose alike. A line with up to
+DENSE of them is signed by all its shingles (layer 0), so that similar lines have a
+layer in common. Banding: ``BANDS`` marks stand on the circle of hashes; the ROWS
+hashes that follow a mark are a band. They are the least of a random order, as
+minhash values are, so that two lines agree in a band with the power ROWS of their
+sets' Jaccard similarity. Lines that agree in one are candidates; those that sizes
+or a sketch, the SKETCH least hashes, rule out go. Verification: exact Jaccard
+similarity of the sets of all shingles (by 64-bit hashes). Union-find over the
+confirmed links (see components) makes classes, of which the first line stays.
 
 A band's lines meet one of them, its leader, which settles groups of near copies
 with one link for each line. Bands that a sample of lines shows to be large are
 split by salts: lines meet their salt's leader, salt leaders meet the band's.
-Bands whose lines are then still in several classes are compared whole, in blocks
-within tasks, so that pairs are neither joined nor emitted (see _whole).
+Bands whose lines are then still in several classes are compared whole, in blocks,
+and only pairs that the screen lets through are made (see _whole).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cuts, drop, free_name, ship, written
+from .shared import drop, free_name, written
 
 SHINGLE = 5
-ROWS, BANDS, SKETCH = 5, 14, 256
+ROWS, BANDS, SKETCH = 5, 14, 32
 #: Small sets have few different bands: up to SMALL shingles they get bands of FEW hashes as well. (A set of 40 is only
 #: similar to sets of up to 50, so that two similar lines have wide bands in common or both have these.)
 FEW, SMALL = 3, 50
+#: Chosen shingles from which on they sign a line, and up to which all shingles do.
+THIN, DENSE = 40, 60
 #: The layout sample is one line in SAMPLE; a salt takes about SALT_ROWS lines of a large band.
 SAMPLE, SALT_ROWS = 64, 2048
 #: A band that is compared whole is dealt out in blocks of about so many lines.
@@ -48,149 +44,55 @@ BLOCK = 256
 BROADCAST = 500_000
 #: A class of more than HOT lines is hot: its first line reaches the others by broadcast.
 HOT = 2048
-#: Characters that are hashed at a time, and lines: their number takes the first bits of a sorted hash.
-SLICE, NUMBER_BITS, PAIR_BITS = 1 << 18, 12, 10
 _WORD = r"[^\x20\x09-\x0D]"
-_SPACE = " \t\n\x0b\x0c\r"
-_MUL = np.random.default_rng(4).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def line_key(line: str) -> int:
-    """64-bit name of a line."""
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def shingle_sets(some: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The lines' shingle hashes, each under its line's number (the first ``bits`` bits), sorted and different; where each line begins."""
-    lens = np.fromiter(map(len, some), np.int64, len(some))
-    c = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = len(c) - SHINGLE + 1
-    shift = np.uint64(64 - bits)
-    found = []
-    if n > 0:
-        h = c[:n] * _MUL[0]
-        for i in range(1, SHINGLE):
-            h += c[i : n + i] * _MUL[i]
-        ends = np.cumsum(lens)
-        whole = np.ones(len(c), bool)  # not where a shingle would run over its line's end
-        for i in range(1, SHINGLE):
-            whole[np.maximum(ends - i, 0)] = False
-        owner = np.repeat(np.arange(len(some), dtype=np.uint64) << shift, lens)
-        whole = whole[:n]
-        found.append(owner[:n][whole] | (_mix(h[whole]) >> np.uint64(bits)))
-    short = [(i << (64 - bits)) | (xxhash.xxh3_64_intdigest(some[i].encode("utf-8", "surrogatepass"), 5) >> bits) for i in np.flatnonzero(lens < SHINGLE).tolist()]
-    found.append(np.array(short, np.uint64))
-    keys = np.sort(np.concatenate(found))
-    if len(keys):
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return keys, np.append(np.searchsorted(keys, np.arange(len(some), dtype=np.uint64) << shift), len(keys))
-
-
-def signatures(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each line's number of shingles; a row of SKETCH bits (the last bit of the hash that follows a mark); all bands and how many each line has."""
-    width = 64 - NUMBER_BITS
-    keys, edges = shingle_sets(some, NUMBER_BITS)
-    starts, counts = edges[:-1, None], np.diff(edges)[:, None]
-    cell = (keys >> np.uint64(width)) * np.uint64(SKETCH) + ((keys & np.uint64((1 << width) - 1)) >> np.uint64(width - SKETCH.bit_length() + 1))
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    after = np.full(len(some) * SKETCH, len(keys), np.int64)
-    after[cell[first].astype(np.int64)] = first
-    after = after.reshape(-1, SKETCH)
-    after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
-    after = np.where(after == len(keys), starts, after)  # a circle
-    bits = np.packbits((keys[after] & np.uint64(1)).astype(bool), axis=1)
-    at = after[:, np.arange(BANDS) * SKETCH // BANDS] - starts
-    wide = few = np.zeros(at.shape, np.uint64)
-    for i in range(ROWS):
-        value = keys[starts + (at + i) % counts] & np.uint64((1 << width) - 1)
-        wide = wide + np.where(i < counts, _mix(value * _MUL[0] + _MUL[1]), np.uint64(0))
-        if i + 1 == FEW:
-            few = wide
-    small = counts[:, 0] <= SMALL
-    bands = np.concatenate([_mix(wide * _MUL[2]), _mix(few * _MUL[3])], axis=1).view(np.int64)
-    there = np.repeat(np.column_stack([np.ones(len(some), bool), small]), BANDS, axis=1)
-    return counts[:, 0], bits.view(np.int64), bands[there], np.where(small, 2 * BANDS, BANDS)
-
-
-def _groups(items: list, sizes: list[int], most: int) -> Iterator[list]:
-    """Consecutive items of about SLICE characters together."""
-    begin = held = 0
-    for i, n in enumerate(sizes):
-        if i > begin and (held + n > SLICE or i - begin >= most):
-            yield items[begin:i]
-            begin, held = i, 0
-        held += n
-    if begin < len(items):
-        yield items[begin:]
-
-
-def _split(text: str | None) -> list[tuple[int, str]]:
-    """(number, line) of the lines with a word."""
-    return [(i, x) for i, x in enumerate(text.split("\n")) if x.strip(_SPACE)] if text else []
+_REST = ".{%d}" % (SHINGLE - 1)
+#: A shingle of code points begins anywhere but within a surrogate pair.
+_ALL = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}]{_REST}))"
+_SOME = rf"(?s)(?=([adgkmpruwyzADGKMPRUWYZ0369\x{{430}}-\x{{433}}\x{{440}}-\x{{443}}\x{{4E00}}-\x{{5FFF}}]{_REST}))"
+_MARKS = [-(1 << 63) + (c << 64) // BANDS for c in range(BANDS)]
+
+
+def _hashed(line: str, pattern: str) -> Column:
+    """Hashes of the line's shingles that a pattern finds, different ones."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x)))
+
+
+def _shingles(line: str) -> Column:
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(_hashed(line, _ALL))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tid, line_no (from 0) and key of every line with a word."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cuts(batches):
-            found = [_split(t) for t in batch["text"].to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(found)), np.fromiter(map(len, found), np.int64, len(found))))
-            number = pa.array([i for f in found for i, _ in f], pa.int32())
-            key = pa.array([line_key(x) for f in found for _, x in f], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["tid"].take(row), number, key], ["doc_id", "tid", "line_no", "key"])
-
-    schema = docs.select("doc_id", "tid").withColumns({"line_no": F.lit(0), "key": F.lit(0).cast("long")}).schema
-    for f in schema.fields:
-        f.nullable = True
-    return docs.select("doc_id", "tid", "text").mapInArrow(each, schema)
-
-
-def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Keys and lines of a task's texts, each line once in about 100,000 different ones."""
-    seen: set[int] = set()
-    for batch in cuts(batches, 250):
-        keys, some = [], []
-        for text in batch["text"].to_pylist():
-            for _, line in _split(text):
-                k = line_key(line)
-                if k not in seen:
-                    seen.add(k)
-                    keys.append(k)
-                    some.append(line)
-        if keys:
-            yield keys, some
-        if len(seen) > 100_000:
-            seen.clear()
+    """The columns but text, line_no (from 0), line and key of every line with a word."""
+    others = [c for c in docs.columns if c != "text"]
+    out = docs.select(*others, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(_WORD))
+    return out.withColumn("key", F.xxhash64("line"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """key, part (the task), n, sketch words and bands of a task's different lines."""
-    words = [f"s{i}" for i in range(SKETCH // 64)]
+    """key, layer, part (the task), n (the set's size), sketch (16 bits of each hash) and bands of every line with a word, for one layer or both."""
+    rows = lines(docs.select("text")).select("key", "line", _hashed("line", _SOME).alias("some"))
+    m = F.size("some")
+    every = F.when(m <= DENSE, F.struct(F.lit(0).alias("layer"), F.sort_array(_shingles("line")).alias("s")))
+    chosen = F.when(m >= THIN, F.struct(F.lit(1).alias("layer"), F.sort_array("some").alias("s")))
+    rows = rows.select("key", F.explode(F.array_compact(F.array(every, chosen))).alias("set")).select("key", "set.layer", "set.s")
+    marks = F.array(*map(F.lit, _MARKS))
+    rows = rows.select("key", "layer", "s", F.sort_array(F.concat("s", marks)).alias("marked"), F.concat("s", F.slice("s", 1, ROWS)).alias("circle"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for keys, some in _different(batches):
-            for group in _groups(list(zip(keys, some, strict=True)), list(map(len, some)), 1 << NUMBER_BITS):
-                n, bits, bands, held = signatures([x for _, x in group])
-                ends = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
-                cols = [pa.array([k for k, _ in group], pa.int64()), pa.array(np.full(len(group), part, np.int32)), pa.array(n)]
-                cols += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(words))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(bands))], ["key", "part", "n", *words, "bands"])
+    def bands(width: int, kind: int) -> Column:
+        after = [F.array_position("marked", F.lit(x)).cast("int") - c for c, x in enumerate(_MARKS)]
+        return F.array(*(F.xxhash64(F.slice("circle", at, width), F.col("layer"), F.lit(kind)) for at in after))
 
-    return docs.select("text").mapInArrow(sign, "key long, part int, n long, " + "".join(f"{w} long, " for w in words) + "bands array<long>")
+    few = F.when(F.size("s") <= SMALL, bands(FEW, 1)).otherwise(F.array().cast("array<bigint>"))
+    sketch = F.transform(F.slice("s", 1, SKETCH), lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    part = F.spark_partition_id().alias("part")
+    return rows.select("key", "layer", part, F.size("s").alias("n"), sketch.alias("sketch"), F.array_distinct(F.concat(bands(ROWS, 0), few)).alias("bands"))
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    """Pairs of line keys (a < b), a line and a leader; the bands' lines (band, key); sketches by key; the tables' paths."""
+    """Pairs (layer, a < b) of line keys, a line and a leader; the bands' lines (band, layer, key); sketches by layer and key; the tables' paths."""
     spark = docs.sparkSession
     made, made_path = written(signed(docs), "signed")
-    rows = made.select("key", "part", F.explode_outer("bands").alias("band"))
+    rows = made.select("key", "layer", "part", F.explode("bands").alias("band"))
     # Where the sample sees a band often it is dealt out; this moves rows, it changes no band.
     seen, seen_path = written(rows.where(F.pmod("key", F.lit(SAMPLE)) == 0).groupBy("band").count(), "seen")
     least = max(SALT_ROWS // SAMPLE, (seen.agg(F.sum("count")).first()[0] or 0) // BROADCAST)
@@ -198,124 +100,55 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[s
     large, large_path = written(large, "bands")  # BROADCAST rows at most: each stands for more than count / BROADCAST
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key", "part"), "salts")).otherwise(-1).cast("int")
     dealt = rows.join(F.broadcast(large), F.col("band") == F.col("hot"), "left")
-    dealt = dealt.select("band", salt.alias("salt"), "key").repartition("band", "salt")
+    dealt = dealt.select("band", salt.alias("salt"), "layer", "key").repartition("band", "salt")
     leaders = dealt.groupBy("band", "salt").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z OR salt >= 0").drop("z")
     led, led_path = written(dealt.join(leaders.hint("shuffle_hash"), ["band", "salt"]).distinct(), "led")
-    heads = led.where("salt >= 0 AND key = a").select("band", "key")
-    heads = heads.join(heads.groupBy("band").agg(F.min("key").alias("a")), "band").select("key", "a")
-    pairs = led.select("key", "a").unionByName(heads).where("a <> key")
-    pairs, pairs_path = written(pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "pairs")
-    words = [c for c in made.columns if c[0] == "s"]
-    sketches, sketches_path = written(made.groupBy("key").agg(*(F.max(c).alias(c) for c in ["n", *words])), "sketches")  # equal for a key
+    heads = led.where("salt >= 0 AND key = a").select("band", "layer", "key")
+    heads = heads.join(heads.groupBy("band").agg(F.min("key").alias("a")), "band").select("layer", "key", "a")
+    pairs = led.select("layer", "key", "a").unionByName(heads).where("a <> key")
+    pairs, pairs_path = written(pairs.select("layer", F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "pairs")
+    held = made.join(led.select("layer", "key").distinct(), ["layer", "key"], "left_semi").groupBy("layer", "key")
+    sketches, sketches_path = written(held.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")  # equal for a key
     drop(spark, made_path, seen_path, large_path)
-    return pairs, led.select("band", "key"), sketches, [pairs_path, led_path, sketches_path]
+    return pairs, led.select("band", "layer", "key"), sketches, [pairs_path, led_path, sketches_path]
 
 
-def _side(sketches: DataFrame, x: str) -> DataFrame:
-    return sketches.toDF(x, *(f"{c}{x}" for c in sketches.columns[1:]))
+def _side(table: DataFrame, x: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """The table with ``x`` behind its columns' names, its key named ``x``; columns ``on`` keep theirs."""
+    return table.select(*(F.col(c).alias(c if c in on else x if c == "key" else c + x) for c in table.columns))
 
 
 def _alike(similarity: float) -> Column:
-    """Whether sizes and sketches of a pair allow its similarity, by five standard deviations of a sketch."""
-    apart = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(SKETCH // 64)), F.lit(0))
-    agree = (1 + similarity) / 2  # a bit agrees by chance as well
-    drawn = F.least(F.lit(float(SKETCH)), 0.6 * F.col("na"), 0.6 * F.col("nb"))  # a small set has fewer hashes than marks, of uneven weight
-    enough = apart <= SKETCH * (1 - agree + 5 * F.sqrt(agree * (1 - agree) / drawn))
-    return (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & enough
+    """Whether sizes and sketches of a pair allow its similarity; chosen shingles and sketches get four standard deviations."""
+    shared = F.size(F.array_intersect("sketcha", "sketchb"))
+    drawn = F.least(F.lit(SKETCH), "na", "nb")
+    enough = shared >= drawn * similarity - 4 * F.sqrt(drawn * similarity * (1 - similarity))
+    return (F.least("na", "nb") >= F.when(F.col("layer") == 0, similarity).otherwise(0.7 * similarity) * F.greatest("na", "nb")) & enough
 
 
 def _meet(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFrame:
     return big.join(F.broadcast(small) if rows <= BROADCAST else small, on, how)
 
 
-def _texts(keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
-    """(key, l): the lines of a table of keys, and the path."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, some in _different(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(some, pa.string())], ["key", "line"])
-
-    wanted, wanted_path = written(keys.distinct(), "wanted")
-    found = _meet(docs.select("text").mapInArrow(each, "key long, line string"), wanted, "key", "left_semi", wanted.count())
-    texts, texts_path = written(found.groupBy("key").agg(F.first("line").alias("l")), "texts")
-    drop(docs.sparkSession, wanted_path)
-    return texts, texts_path
-
-
-def _similar(both: list[tuple[str, str]], similarity: float) -> np.ndarray:
-    """Whether each pair of lines reaches the Jaccard similarity."""
-    ok = [np.zeros(0, bool)]
-    for g in _groups(both, [len(s) + len(t) for s, t in both], 1 << PAIR_BITS):
-        (s, at), (t, bt) = (shingle_sets(list(some), PAIR_BITS) for some in zip(*g, strict=True))
-        same = np.intersect1d(s, t, assume_unique=True) >> np.uint64(64 - PAIR_BITS)
-        common = np.bincount(same.astype(np.int64), minlength=len(g))
-        ok.append(common * (1 + similarity) >= similarity * (np.diff(at) + np.diff(bt)) - 1e-9)
-    return np.concatenate(ok)
-
-
 def _near(pairs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
-    """The pairs (a, b) of a written table whose lines are similar by their texts, and the path."""
+    """The pairs (a, b) of a written table whose lines are similar by all their shingles, and the path."""
+    wanted, wanted_path = written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
+    found = _meet(lines(docs.select("text")).select("key", "line"), wanted, "key", "left_semi", wanted.count())
+    texts, texts_path = written(found.groupBy("key").agg(F.first("line").alias("l")), "texts")
+    sides = pairs.join(_side(texts, "a"), "a").join(_side(texts, "b"), "b")
+    sides = sides.select("a", "b", _shingles("la").alias("x"), _shingles("lb").alias("y"))
+    same = F.size(F.array_intersect("x", "y")) * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9
+    near, near_path = written(sides.select("a", "b", same.alias("same")), "near")  # a filter here would hash the shingles twice
+    drop(docs.sparkSession, wanted_path, texts_path)
+    return near.where("same").select("a", "b"), near_path
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cuts(batches):
-            both = list(zip(batch["la"].to_pylist(), batch["lb"].to_pylist(), strict=True))
-            yield batch.select(["a", "b"]).filter(pa.array(_similar(both, similarity)))
 
-    texts, texts_path = _texts(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))), docs)
-    sides = pairs.join(_side(texts, "a"), "a").join(_side(texts, "b"), "b")
-    near, near_path = written(sides.select("a", "b", "la", "lb").mapInArrow(confirm, "a long, b long"), "near")
-    drop(docs.sparkSession, texts_path)
-    return near, near_path
-
-
-def _across(rows: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between the classes that meet in whole tasks; rows are sorted by task and side."""
-    task, side, root, key, n = (rows[c].to_numpy() for c in ("task", "side", "root", "key", "n"))
-    sketch = np.column_stack([rows[f"s{i}"].to_numpy() for i in range(SKETCH // 64)]).view(np.uint64)
-    some = rows["l"].to_pylist()
-    agree = (1 + similarity) / 2
-    edges = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]]).tolist()
-
-    def settle(left: list, right: list) -> Iterator[pa.RecordBatch]:
-        i, j = np.concatenate(left), np.concatenate(right)
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (root[i] != root[j]) & (small >= similarity * large)
-        i, j, small = i[ok], j[ok], small[ok]
-        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
-        ok = apart <= SKETCH * (1 - agree + 5 * np.sqrt(agree * (1 - agree) / np.minimum(SKETCH, 0.6 * small)))  # as in _alike
-        i, j = i[ok], j[ok]
-        if len(i):
-            pairs = np.column_stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])])
-            once = np.unique(pairs, axis=0, return_index=True)[1]  # lines that share several bands
-            i, j = i[once], j[once]
-            ok = _similar([(some[x], some[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], similarity)
-            found = np.unique(np.column_stack([root[i[ok]], root[j[ok]]]), axis=0)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-    left, right, held = [], [], 0
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        middle = lo + int(np.searchsorted(side[lo:hi], 1))
-        if middle < hi:
-            i, j = np.repeat(np.arange(lo, middle), hi - middle), np.tile(np.arange(middle, hi), middle - lo)
-        else:
-            i, j = (x + lo for x in np.triu_indices(hi - lo, 1))
-        left.append(i)
-        right.append(j)
-        held += len(i)
-        if held > SLICE:
-            yield from settle(left, right)
-            left, right, held = [], [], 0
-    if held:
-        yield from settle(left, right)
-
-
-def _whole(placed: DataFrame, sketches: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
-    """Links between the classes (roots) of bands that hold several, from all their pairs of lines, and the path.
+def _whole(placed: DataFrame, sketches: DataFrame, checked: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """Links between the classes (roots) of bands that hold several, from all their pairs of lines but the ``checked``, and the path.
 
     A band is dealt out in blocks of about BLOCK lines, of which every two are a
-    task; a class that fills blocks of its own isn't compared with itself. Pairs
-    live inside a task only, which gives a link for each two classes that it joins.
+    task; a class that fills blocks of its own isn't compared with itself. A task's
+    join makes only those pairs of two classes that the screen lets through.
     """
     apart = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("band")
     apart, apart_path = written(apart, "apart")
@@ -329,29 +162,23 @@ def _whole(placed: DataFrame, sketches: DataFrame, docs: DataFrame, similarity:
     blocks = cells.select("band", "own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("band", "own", block)
     meets = blocks.join(blocks.toDF("band", "own2", "block2"), "band").where("block <= block2 AND (own IS NULL OR own2 IS NULL OR own <> own2)")
     meets = meets.select("block", "block2", F.xxhash64("block", "block2").alias("task"))
-    sides = meets.select("block", "task", F.lit(0).alias("side")).unionByName(meets.where("block <> block2").select(F.col("block2").alias("block"), "task", F.lit(1).alias("side")))
+    # A block with itself is side 0 of its task, where each pair is met once, by key.
+    sides = meets.select("block", "task", F.when(F.col("block") < F.col("block2"), 1).otherwise(0).alias("side"))
+    sides = sides.unionByName(meets.where("block < block2").select(F.col("block2").alias("block"), "task", F.lit(2).alias("side")))
     sides, sides_path = written(sides, "sides")
     of = cells.toDF("of_band", "of_own", "salts")
     dealt = _meet(own, of, (F.col("band") == F.col("of_band")) & F.col("own").eqNullSafe(F.col("of_own")), "inner", 2 * of.count())
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key", "band"), "salts").cast("int")).select("key", "root", block)
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key", "band"), "salts").cast("int")).select("layer", "key", "root", block)
     dealt = _meet(dealt, sides, "block", "inner", 2 * sides.count()).drop("block")
-    texts, texts_path = _texts(rows.select("key"), docs)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            ends = np.flatnonzero(np.diff(now["task"].to_numpy()))
-            last = int(ends[-1]) + 1 if len(ends) else 0  # the last task may go on in the next batch
-            if last:
-                yield from _across(now.slice(0, last).combine_chunks(), similarity)
-            rest = now.slice(last)
-        if rest is not None and rest.num_rows:
-            yield from _across(rest.combine_chunks(), similarity)
-
-    ready = dealt.join(texts.join(sketches, "key"), "key").repartition("task").sortWithinPartitions("task", "side")
-    links, links_path = written(ready.mapInArrow(meet, "a long, b long").distinct(), "links")
-    drop(docs.sparkSession, apart_path, rows_path, large_path, cells_path, sides_path, texts_path)
+    ready, ready_path = written(dealt.join(sketches, ["layer", "key"]), "ready")
+    # A band is of one layer, and so is a task.
+    x, y = (_side(ready, i, ("task", "layer")) for i in "ab")
+    once = ((F.col("sidea") == 1) & (F.col("sideb") == 2)) | ((F.col("sidea") == 0) & (F.col("a") < F.col("b")))
+    met = x.join(y.hint("shuffle_hash"), ["task", "layer"]).where(once & (F.col("roota") != F.col("rootb")) & _alike(similarity))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    met, met_path = written(met, "met")
+    links, links_path = _near(met, docs, similarity)
+    drop(docs.sparkSession, apart_path, rows_path, large_path, cells_path, sides_path, ready_path, met_path)
     return links, links_path
 
 
@@ -359,16 +186,15 @@ def classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(node, root) of the line keys that have a similar line."""
     spark = docs.sparkSession
     pairs, members, sketches, paths = candidates(docs)
-    alike = pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").where(_alike(similarity)).select("a", "b")
-    alike, alike_path = written(alike, "alike")
+    alike = pairs.join(_side(sketches, "a", ("layer",)), ["layer", "a"]).join(_side(sketches, "b", ("layer",)), ["layer", "b"])
+    alike, alike_path = written(alike.where(_alike(similarity)).select("a", "b").distinct(), "alike")
     near, near_path = _near(alike, docs, similarity)
     roots, roots_path = components(near)
-    drop(spark, alike_path, near_path)
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed, placed_path = written(placed.select("band", "key", F.coalesce("root", "key").alias("root")), "placed")
-    more, more_path = _whole(placed, sketches, docs, similarity)
+    placed, placed_path = written(placed.select("band", "layer", "key", F.coalesce("root", "key").alias("root")), "placed")
+    more, more_path = _whole(placed, sketches, alike, docs, similarity)
     out = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    drop(spark, *paths, placed_path, roots_path, more_path)
+    drop(spark, *paths, alike_path, near_path, placed_path, roots_path, more_path)
     return out
 
 
@@ -388,9 +214,8 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     docs = docs.drop("n_lines", "removed", "n_removed")
     tid, split, gone, lost_id, lost_tid = (free_name(docs, c) for c in ("tid", "split", "gone", "lost_id", "lost_tid"))
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    ship(spark)
     roots, roots_path = classes(d, similarity)
-    own = _meet(lines(d), roots, F.col("key") == F.col("node"), "left", roots.count())
+    own = _meet(lines(d).drop("line"), roots, F.col("key") == F.col("node"), "left", roots.count())
     own, own_path = written(own.select("doc_id", "tid", "line_no", F.coalesce("root", "key").alias("root")), "lines")
     counts, counts_path = written(own.groupBy("root").count().where("count > 1"), "counts")
     n_own, n_many = own.count(), counts.count()
