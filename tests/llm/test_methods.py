@@ -236,6 +236,19 @@ def test_lines_without_python(spark, monkeypatch):
     assert [r["n_removed"] for r in out.orderBy("doc_id").collect()] == [0, 1, 0, 1, 0, 0]
 
 
+def test_line_stage_without_python(spark, monkeypatch):
+    """The pipeline's line_dedup is made of DataFrame functions too."""
+    import corpus_pipeline
+    from pyspark.sql import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", refuse)
+    docs = spark.createDataFrame([(1, "one line of text\nanother", 24), (2, "one line of text", 16)], "doc_id long, text string, n_chars long")
+    assert [tuple(r) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()] == [(1, "one line of text\nanother", 24)]
+
+
 # -- 6 ----------------------------------------------------------------------
 @tables
 def test_language_held_out(spark):
